@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import token_output
+from . import decontaminate, mixing, token_output, url_filter
 from .common import table
 
 #: Folder of the public vocabularies; a parameter of the operators, never copied here.
 TOKENIZERS = "/opt/tokenizers"
 
+#: The URL rules of the contract (host, path, verdict).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def source_weights(docs: DataFrame) -> dict[str, int]:
+    """Target weights of the mixing query: 1 plus the source's number mod 4."""
+    names = [r[0] for r in docs.select(F.coalesce("source", F.lit(""))).distinct().limit(mixing.MAX_PERIOD + 1).collect()]
+    return {n: int(m[0]) % 4 + 1 if (m := re.search(r"[0-9]+$", n)) else 1 for n in names}
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10).drop("spans")
+
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, source_weights(docs), block_chars=100_000)
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_block", "mix_slot", "mix_release", "mix_deadline")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_output": op3_token_output,
+    "op5_url_filter": op5_url_filter,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op5_url_filter": url_filter.SQL,
+    "op8_mixing": mixing.SQL,
+}

@@ -30,8 +30,8 @@ from .common import shared_dir
 
 SAMPLE = 64
 BLOCK_IDS = 1 << 20
-#: Entries of a worker's word memo; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Entries of each of the two generations of a worker's word memo.
+MEMO_WORDS = 500_000
 
 SCHEMA = "part int, block int, part_start long, n_docs long, n_ids long, low_bits int, low binary, high binary, samples binary, doc_ids binary, ids binary, wide boolean"
 
@@ -80,11 +80,19 @@ class EliasFano:
         return upper << self.low_bits | held >> first % 8 & (1 << self.low_bits) - 1
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Whole texts to ids, with the ids of each space-separated piece remembered.
 
     The vocabulary's pre-tokenizer never joins what a blank or a newline separates, so the ids of a text are those
-    of its pieces in order. Unseen pieces of ASCII letters go to the tokenizer many at a time and are told
+    of its pieces in order. Unseen pieces of letters go to the tokenizer many at a time and are told
     apart by their word-end ids; every other unseen piece goes there by itself.
     """
 
@@ -98,28 +106,36 @@ class WordEncoder:
         self.wide = len(self.ends) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.memo) + len(pieces) > MEMO_WORDS:
-            self.memo.clear()
+            self.memo, self.old = {}, self.memo
+        if again := pieces & self.old.keys():
+            self.memo.update((p, self.old[p]) for p in again)
+            pieces = pieces - again
         plain: set[str] = set()
         later, other = [], []
         for p in pieces:
             stem, mark = (p[:-1], p[-1]) if p[-1:] in (".", ",") else (p, "")
-            if stem.isascii() and stem.isalpha():
-                later.append((p, stem.lower(), mark))
-                plain.add(stem.lower())
+            if stem.isalpha() and stem.lower().isalpha():
+                later.append((p, stem, mark))
+                plain.add(stem)
                 if mark:
                     other.append(mark)
             else:
                 other.append(p)
         own: dict[str, bytes] = {}
+        for w in plain & self.old.keys():
+            self.memo[w] = self.old[w]
         words = [w for w in plain if w not in self.memo]
         for k in range(0, len(words), 256):
             few = words[k : k + 256]
             ids = np.array(self.tokenizer.encode(" ".join(few), add_special_tokens=False).ids, self.dtype)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            assert len(cut) == len(few)
+            if len(cut) != len(few):  # letters that the vocabulary's own normalisation splits
+                other.extend(few)
+                continue
             own.update((w, x.tobytes()) for w, x in zip(few, np.split(ids, cut[:-1])))
         for p in dict.fromkeys(other):
             if p not in self.memo:
@@ -131,6 +147,8 @@ class WordEncoder:
         """The ids of each text as little-endian bytes."""
         out = []
         for text in texts:
+            if "<|" not in text and _is_latin(text):  # lower-casing, which the vocabulary does itself, is the same for each letter
+                text = text.lower()
             pieces = text.replace("\n", " ").split(" ")
             if fresh := {p for p in pieces if p not in self.memo}:
                 self._learn(fresh)

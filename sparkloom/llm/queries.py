@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, token_output, url_filter
+from . import decontaminate, html_text, mixing, token_output, toxicity, url_filter
 from .common import table
 
 #: Folder of the public vocabularies; a parameter of the operators, never copied here.
@@ -35,17 +35,27 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, source_weights(docs), block_chars=100_000)
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_block", "mix_slot", "mix_release", "mix_deadline")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1, threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_token_output": op3_token_output,
     "op5_url_filter": op5_url_filter,
+    "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,21 +11,22 @@ def fold(id_: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to learn from: of each class, the per_class rows of least id hash outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[list[str], np.ndarray, float]:
+    """Texts and labels to learn from, and the share of label 1 among all that may be: of each class, the per_class rows of least id hash outside the held-out fold.
 
     The bound holds for what is broadcast (ids) and what reaches the driver (texts). A document whose labels contradict each other
     is left out, and so are labels of neither 0 nor 1.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     rows = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("__id", "y")
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     few = [rows.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
     ids = few[0].union(few[1])
     own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
     # one text for each id, should ids repeat, and an order that no partitioning changes
     got = own.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r.doc_id)
-    return [r.text for r in got], np.array([r.y for r in got], np.float32)
+    return [r.text for r in got], np.array([r.y for r in got], np.float32), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 class Adam:
@@ -54,9 +55,10 @@ def balance(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
 
 
-def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn logits into probabilities, by Newton's method on balanced classes."""
-    w, target = balance(y), np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+def platt(logits: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset that turn logits into probabilities where label 1 has the share prior, by Newton's method."""
+    prior = min(max(prior, 0.01), 0.99)
+    w, target = balance(y) * 2 * np.where(y > 0, prior, 1 - prior), np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     x = np.stack([logits, np.ones_like(logits)], 1).astype(np.float64)
     beta = np.array([1.0, 0.0])
     for _ in range(50):

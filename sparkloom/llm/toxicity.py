@@ -200,7 +200,7 @@ class Network:
 class Model:
     """A trained network with its evidence and calibration; without both classes it gives the base rate."""
 
-    def __init__(self, texts: list[str], y: np.ndarray):
+    def __init__(self, texts: list[str], y: np.ndarray, prior: float | None = None):
         self.rate = float(y.mean()) if len(y) else 0.0
         self.network = None
         if not 0 < self.rate < 1:
@@ -238,7 +238,7 @@ class Model:
                 adam.step(self.network.backward(inputs, keep, g), 1e-4)
         logits = self._logits(inputs, rows)
         best = _best(owner, logits)
-        self.slope, self.offset = platt(logits[best], y[owner[best]])
+        self.slope, self.offset = platt(logits[best], y[owner[best]], self.rate if prior is None else prior)
 
     def _logits(self, inputs: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.concatenate([self.network.forward(inputs, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
+from . import decontaminate, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
 from .common import table
 
 #: Folder of the public vocabularies; a parameter of the operators, never copied here.
@@ -23,6 +23,11 @@ def source_weights(docs: DataFrame) -> dict[str, int]:
     return {n: int(m[0]) % 4 + 1 if (m := re.search(r"[0-9]+$", n)) else 1 for n in names}
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10).drop("spans")
 
@@ -62,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_output": op3_token_output,
     "op4_ngram_join": op4_ngram_join,

@@ -18,6 +18,7 @@ wide           bool    whether ids take 32 bits
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -80,6 +81,10 @@ class EliasFano:
         return upper << self.low_bits | held >> first % 8 & (1 << self.low_bits) - 1
 
 
+#: A stop or comma that ends a word; the vocabulary parts it from letters and digits in any case.
+END = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|\Z)")
+
+
 def _is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -114,47 +119,34 @@ class WordEncoder:
         if again := pieces & self.old.keys():
             self.memo.update((p, self.old[p]) for p in again)
             pieces = pieces - again
-        plain: set[str] = set()
-        later, other = [], []
-        for p in pieces:
-            stem, mark = (p[:-1], p[-1]) if p[-1:] in (".", ",") else (p, "")
-            if stem.isalpha() and stem.lower().isalpha():
-                later.append((p, stem, mark))
-                plain.add(stem)
-                if mark:
-                    other.append(mark)
-            else:
-                other.append(p)
+        words = [p for p in pieces if p.isalpha() and p.lower().isalpha()]
         own: dict[str, bytes] = {}
-        for w in plain & self.old.keys():
-            self.memo[w] = self.old[w]
-        words = [w for w in plain if w not in self.memo]
         for k in range(0, len(words), 256):
             few = words[k : k + 256]
             ids = np.array(self.tokenizer.encode(" ".join(few), add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(few):  # letters that the vocabulary's own normalisation splits
-                other.extend(few)
-                continue
-            own.update((w, x.tobytes()) for w, x in zip(few, np.split(ids, cut[:-1])))
-        for p in dict.fromkeys(other):
-            if p not in self.memo:
-                own[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype).tobytes()
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(cut) == len(few):  # else some letters are such as the vocabulary's own normalisation splits
+                data, cut = ids.tobytes(), cut.tolist()
+                own.update((w, data[a:b]) for w, a, b in zip(few, [0, *cut], cut))
+        for p in pieces - own.keys():
+            own[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype).tobytes()
         self.memo.update(own)
-        self.memo.update((p, self.memo[stem] + (self.memo[mark] if mark else b"")) for p, stem, mark in later)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         out = []
         for text in texts:
             if "<|" not in text and _is_latin(text):  # lower-casing, which the vocabulary does itself, is the same for each letter
-                text = text.lower()
+                text = END.sub(r" \1", text.lower())
             pieces = text.replace("\n", " ").split(" ")
-            if fresh := {p for p in pieces if p not in self.memo}:
-                self._learn(fresh)
-                if any(p not in self.memo for p in pieces):  # the memo was full and began anew
-                    self._learn(set(pieces))
-            out.append(b"".join([self.memo[p] for p in pieces]))
+            found = list(map(self.memo.get, pieces))
+            if None in found:
+                self._learn({p for p, ids in zip(pieces, found) if ids is None})
+                found = list(map(self.memo.get, pieces))
+                if None in found:  # a new generation began meanwhile
+                    self._learn({p for p, ids in zip(pieces, found) if ids is None})
+                    found = [self.memo[p] for p in pieces]
+            out.append(b"".join(found))
         return out
 
 

@@ -23,8 +23,10 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 GRAMS = (3, 4, 5)
 #: Labelled documents of each class that are learned from at most.
-PER_CLASS = 2000
+PER_CLASS = 1500
 EPOCHS = 10
+#: Windows of a text that training picks the deciding one from.
+LIKELY = 6
 #: Words that a worker remembers at most.
 MEMO_WORDS = 400_000
 
@@ -42,8 +44,8 @@ class Spelling:
         code = np.frombuffer("".join(f"<{w}>" for w in vocabulary).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.size = np.array([len(w) + 2 for w in vocabulary], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        place = np.arange(len(code)) - np.repeat(self.start, self.size)
-        left = np.repeat(self.size, self.size) - place
+        place = (np.arange(len(code)) - np.repeat(self.start, self.size)).astype(np.int32)
+        left = np.repeat(self.size.astype(np.int32), self.size) - place
         power = np.cumprod(np.full(256, PRIME, np.uint64))
         self.word = _mix(np.add.reduceat(code * power[place & 255], self.start)) if len(vocabulary) else np.zeros(0, np.int64)
         self.grams = []  # of each length: a bucket at every place, and whether an n-gram begins there
@@ -77,7 +79,7 @@ PRIME = 0x9E3779B97F4A7C15
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(PRIME)
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 class Evidence:
@@ -220,11 +222,15 @@ class Model:
         cuts = [windows(ids + k * len(place)) for ids, k in zip(own, y.astype(np.int32))]
         owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
         rows = np.concatenate([c for c in cuts if len(c)])
+        # what trains are each text's windows of most evidence: no other comes near to deciding it
         first = inputs[rows][:, :, :2].max(2).max(1)
+        order = np.lexsort((-first, owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        likely = order[rank < LIKELY]
         adam, rng, weight = Adam(self.network.p, 0.01), np.random.default_rng(3), balance(y)
         for epoch in range(EPOCHS):
-            score = first if epoch == 0 else self._logits(inputs, rows)
-            chosen = _best(owner, score)
+            score = first[likely] if epoch == 0 else self._logits(inputs, rows[likely])
+            chosen = likely[_best(owner[likely], score)]
             if epoch:  # of clean texts another window too, so that no window of them is far from clean
                 clean = np.flatnonzero(y[owner] == 0)
                 chosen = np.concatenate([chosen, rng.choice(clean, min(len(clean), len(chosen)), replace=False)])

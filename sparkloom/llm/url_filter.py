@@ -6,9 +6,9 @@ are hashed, found by binary search over a whole batch at once, and compared with
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -29,7 +29,7 @@ def write_rules(rules: Sequence[Rule]) -> str:
     rows = sorted((xxhash.xxh64_intdigest(f"{host}{path}"), f"{host}{path}".encode(), len(host), verdict == "allow") for host, path, verdict in {(h, p): (h, p, v) for h, p, v in rules}.values())
     ends = np.cumsum([0, *(len(r[1]) for r in rows)])
     body = struct.pack("<Q", len(rows)) + np.array([r[0] for r in rows], "<u8").tobytes() + ends.astype("<u8").tobytes() + np.array([r[2] for r in rows], "<u4").tobytes() + np.array([r[3] for r in rows], "u1").tobytes() + b"".join(r[1] for r in rows)
-    path = Path(tempfile.mkdtemp(prefix="sparkloom-")) / f"url-rules-{hashlib.sha256(body).hexdigest()[:24]}.bin"
+    path = Path(tempfile.mkdtemp(prefix="sparkloom-")) / f"url-rules-{uuid.uuid4().hex}.bin"  # a name that no other call has added
     path.write_bytes(body)
     return str(path)
 

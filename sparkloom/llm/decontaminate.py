@@ -69,7 +69,11 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
         at = rows.select(*key, _let(words(F.col("text")), lambda w: F.struct(w.alias("w"), _at(w, length).alias("hashes"))).alias("x"))
         at = at.select("doc_id", "text_key", F.col("x.w").alias("w"), F.posexplode("x.hashes").alias("pos", "hash"))
         set_ = grams.where(F.col("len") == length).select("hash", "window", "items")
-        found = at.join(F.broadcast(set_) if fits else set_, "hash").where(F.slice("w", F.col("pos") + 1, F.lit(length)) == F.col("window"))
+        window = F.slice("w", F.col("pos") + 1, F.lit(length))
+        if fits:
+            found = at.join(F.broadcast(set_), "hash").where(window == F.col("window"))
+        else:  # what shuffles is each window's own words, not its text's
+            found = at.select("doc_id", "text_key", "pos", "hash", window.alias("window")).join(set_, ["hash", "window"])
         found = found.select("doc_id", "text_key", F.struct((F.col("pos") + 1).alias("first"), (F.col("pos") + 1 + length).alias("until")).alias("span"), "items")
         hits = found if hits is None else hits.unionByName(found)
     total = rows.select(*key, n_words(F.col("text")).alias("n_words"))

@@ -30,6 +30,8 @@ N = 5
 LOT = 4 << 20
 #: Members and n-grams of a chunk at most, on average.
 CHUNK, CHUNK_GRAMS = 1000, 2_000_000
+#: Ids of open documents that are broadcast at most (64 MB).
+BROADCAST_IDS = 4_000_000
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -164,25 +166,19 @@ def sizes(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
-    """doc_id, n, digest (of the set) and grams (the set as bytes)."""
+    """doc_id, n, digest (of the set) and grams (the sorted set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _lots(batches):
-            data = [s.tobytes() for s in shingles(texts)]
-            yield pd.DataFrame({"doc_id": ids, "n": [len(d) // 8 for d in data], "digest": [hashlib.blake2b(d, digest_size=16).digest() for d in data], "grams": data})
+            sets = shingles(texts)
+            yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "grams": [s.view(np.int64) for s in sets]})
 
-    return rows.mapInPandas(run, "doc_id long, n int, digest binary, grams binary")
+    return rows.mapInPandas(run, "doc_id long, n int, digest binary, grams array<long>")
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
     """gram and rep: the n-grams in the prefix of a set, rarest first, that another set has too."""
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for rep, n, grams in zip(b.rep, b.n, b.grams):
-                yield pd.DataFrame({"rep": np.int64(rep), "n": np.int32(n), "gram": np.frombuffer(grams, np.int64)})
-
-    grams = reps.select("rep", "n", "grams").mapInPandas(spread, "rep long, n int, gram long")
+    grams = reps.select("rep", "n", F.explode("grams").alias("gram"))
     count = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     held = grams.join(count, "gram")
     # n-grams of one set alone come first in the order, so the prefix keeps what they leave of it
@@ -288,7 +284,7 @@ def verified(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(reps: list, sets: list) -> pd.DataFrame:
-            found = Tree([np.frombuffer(s, np.uint64) for s in sets]).links() if len(reps) > 1 else []
+            found = Tree(sets).links() if len(reps) > 1 else []
             return pd.DataFrame({"a": [reps[x] for x, _ in found], "b": [reps[y] for _, y in found]}, dtype="int64")
 
         key, reps, sets = None, [], []
@@ -299,7 +295,7 @@ def verified(blocks: DataFrame) -> DataFrame:
                         yield done(reps, sets)
                     key, reps, sets = (block, i, j), [], []
                 reps.append(rep)
-                sets.append(grams)
+                sets.append(np.asarray(grams, np.int64))
         if reps:
             yield done(reps, sets)
 
@@ -318,17 +314,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = materialize(sizes(named))
 
     open_ = known.where("not alone").select("doc_id").distinct()
+    # ids of 8 bytes: a bounded number is broadcast, so that texts stay where they are; more are joined by shuffle
+    open_ = F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_
     sets = materialize(sets_of(named.join(open_, "doc_id", "left_semi")))
-    heads = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = materialize(sets.select("doc_id", "digest").join(heads, "digest").select("doc_id", "rep").distinct())
-    reps = sets.join(member.where("doc_id = rep").select("rep"), sets["doc_id"] == F.col("rep"))
-    reps = materialize(reps.join(heads.withColumnRenamed("rep", "head"), "digest").where("rep = head").select("rep", "n", "digest", "grams").dropDuplicates(["digest"]).drop("digest"))
+    # copies are dropped before anything shuffles: each task keeps the least id of a set
+    reps = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "grams")).alias("x"))
+    reps = materialize(reps.select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.grams"))
+    member = materialize(sets.select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest").select("doc_id", "rep").distinct())
 
     starts = materialize(prefixes(reps))
     centre = starts.groupBy("gram").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     blocks = components(starts.join(centre, "gram").select(F.col("rep").alias("a"), "b"))
 
-    inside = reps.join(blocks, F.col("rep") == F.col("node")).select(F.col("component").alias("block"), "rep", "n", "grams")
+    inside = reps.drop("digest").join(blocks, F.col("rep") == F.col("node")).select(F.col("component").alias("block"), "rep", "n", "grams")
     load = inside.groupBy("block").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     load = load.select("block", F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     dealt = inside.join(load, "block").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))

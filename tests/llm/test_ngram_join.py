@@ -62,6 +62,7 @@ def test_edges(spark):
 def test_random_families(spark, monkeypatch, chunk):
     """Families of texts that drift by edits around the threshold, passages that all share, and chunks smaller than a family."""
     monkeypatch.setattr(g, "CHUNK", chunk)
+    monkeypatch.setattr(g, "BROADCAST_IDS", chunk)
     rng = random.Random(chunk)
     word = lambda: f"w{rng.randrange(3000)}"
     common = [word() for _ in range(30)]

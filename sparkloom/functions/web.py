@@ -74,7 +74,8 @@ def retry_after(header: Column, now: Column) -> Column:
     """Seconds of a Retry-After header, a number or an HTTP date; 300 at most, null where it is neither."""
     number = F.try_to_number(F.trim(header), F.lit("999999")).cast("double")
     date = F.timestamp_diff("SECOND", now, F.try_to_timestamp(F.trim(F.substring(F.trim(header), 6, 100)), F.lit("dd MMM yyyy HH:mm:ss z"))).cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(300.0), F.coalesce(number, date)))
+    said = F.coalesce(number, date)
+    return F.when(said.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(300.0), said)))  # least() alone would skip a null
 
 
 def pcm_rms(pcm: Column) -> Column:

@@ -45,7 +45,7 @@ def schedule(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
 def mix(docs: DataFrame, weights: Mapping[str, int], block_chars: int, default_weight: int = 1, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with mix_block, mix_slot, mix_release and mix_deadline; reading by mix_slot mixes the sources.
 
-    Within a source, documents come in the order of md5(id), then id and text, and a document belongs to the block in which its
+    Within a source, documents come in the order of md5(id), then id and md5(text), and a document belongs to the block in which its
     first character falls; so a document longer than a block takes several and the next one starts later.
     A source without a weight gets default_weight; a null source is the source '' and a null text has no
     characters. When a source has no blocks left, its slots stay empty and the others go on: no row is dropped or repeated. An
@@ -56,12 +56,12 @@ def mix(docs: DataFrame, weights: Mapping[str, int], block_chars: int, default_w
     seen = [r[0] for r in docs.select(name.alias("s")).distinct().limit(MAX_PERIOD + 1).collect()]
     table = schedule(spark, {s: int(weights.get(s, default_weight)) for s in seen} or {"": 1})
 
-    own = docs.select("*", name.alias("__s"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__k"), F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long").alias("__n"))
+    own = docs.select("*", name.alias("__s"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__k"), F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long").alias("__n"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
     own = own.withColumn("__part", F.substring("__k", 1, DIGITS))
     # the hot source is counted in parts, whose sums are few, and only then numbered within each part
     sums = own.groupBy("__s", "__part").agg(F.sum("__n").alias("__sum"))
     sums = sums.select("__s", "__part", (F.sum("__sum").over(Window.partitionBy("__s").orderBy("__part")) - F.col("__sum")).alias("__base"))
-    within = Window.partitionBy("__s", "__part").orderBy("__k", F.col(id_col), F.col(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("__s", "__part").orderBy("__k", F.col(id_col), "__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.join(sums, ["__s", "__part"]).withColumn("__at", F.col("__base") + F.sum("__n").over(within) - F.col("__n"))
     own = own.withColumn("mix_block", F.floor(F.col("__at") / block_chars).cast("long"))
     few = F.broadcast(table.select(F.col("source").alias("__src"), F.col("weight").alias("__w"), F.col("block").cast("long").alias("__b"), F.col("at").alias("__slot"), F.col("release").alias("__r"), F.col("deadline").alias("__d"), F.col("period").alias("__p")))
@@ -91,7 +91,7 @@ run AS (
 ),
 k AS (SELECT names[pick] AS source, a[pick] AS w, block, t AS at_slot, release, deadline, total FROM run, l WHERE t >= 0),
 d AS (SELECT doc_id, coalesce(source, '') AS source,
-             CAST(floor((sum(coalesce(length(text), 0)) OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, text ROWS UNBOUNDED PRECEDING) - coalesce(length(text), 0)) / 100000) AS BIGINT) AS b
+             CAST(floor((sum(coalesce(length(text), 0)) OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, md5(coalesce(text, '')) ROWS UNBOUNDED PRECEDING) - coalesce(length(text), 0)) / 100000) AS BIGINT) AS b
       FROM documents)
 SELECT doc_id, d.source, b AS mix_block, CAST(b // w * total + at_slot AS BIGINT) AS mix_slot,
        CAST(b // w * total + release AS BIGINT) AS mix_release, CAST(b // w * total + deadline AS BIGINT) AS mix_deadline

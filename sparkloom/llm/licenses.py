@@ -11,10 +11,12 @@ import math
 import re
 from collections import Counter
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import materialize
+
 #: Short notices of common licences, by SPDX name, as they are usually worded.
 TEMPLATES = {
     "Apache-2.0": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"],
@@ -35,6 +37,8 @@ TEMPLATES = {
 MIN_COSINE, MIN_SHARE = 0.8, 0.5
 
 WORD = r"[a-z0-9]+"
+#: Words of the templates that any English text has.
+EVERYDAY = frozenset("the of to this is any in and or not a you may by with for be from work under file are all that use used except v 0 2 3 4 1".split())
 #: Copies of a directory's row that its files are dealt over.
 SALTS = 32
 
@@ -54,11 +58,15 @@ class Weights:
 
 
     def telling(self, min_cosine: float) -> list[str]:
-        """Words of which a text must hold one to reach min_cosine: without them too little of any template's vector is left."""
+        """Words of which a line must hold one to reach min_cosine: without them too little of any template's vector is left.
+
+        Any such set is safe; long words come first and everyday ones last, for these let fewest lines through.
+        """
         out: set[str] = set()
+        rank = lambda v: (v[2] in EVERYDAY, len(v[2]) < 5, -v[3], v[2])
         for number in {v[0] for v in self.vectors}:
             left = 1.0
-            for _, _, word, weight in sorted((v for v in self.vectors if v[0] == number), key=lambda v: (-v[3], -len(v[2]), v[2])):
+            for _, _, word, weight in sorted((v for v in self.vectors if v[0] == number), key=rank):
                 if left < min_cosine**2 - 1e-9:
                     break
                 out.add(word)
@@ -76,14 +84,22 @@ def statements(files: DataFrame, templates: dict[str, list[str]] | None = None,
     idf = spark.createDataFrame(sorted(weights.idf.items()), "word string, idf double")
     vectors = spark.createDataFrame(weights.vectors, "template int, license string, word string, weight double")
     sure = weights.telling(min_cosine)
-    holds = lambda text: reduce(or_, (F.contains(text, F.lit(w)) for w in sure))
+    plain = lambda text: F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    holds = lambda text: reduce(or_, (F.contains(text, F.lit(f" {w} ")) for w in sure))
     split = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = files.select("path", "t", F.lower("text").alias("text")).where(holds(F.col("text")))
-    lines = some.select("path", "t", F.size(split(F.col("text"))).alias("file_words"), F.posexplode(F.split("text", r"\n|\r")).alias("line", "said")).where(holds(F.col("said")))
+    some = files.select("path", "t", "text", plain(F.col("text")).alias("plain")).where(holds(F.col("plain")))
+    lines = some.select("path", "t", F.size(split(F.col("plain"))).alias("file_words"), F.posexplode(F.split(F.lower("text"), r"\n|\r")).alias("line", "said"))
+    lines = lines.withColumn("said", plain(F.col("said"))).where(holds(F.col("said")))
+    # a cosine is at most the length of what the line has of the template's vector
+    parts: dict[int, list[tuple[str, float]]] = {}
+    for number, _, word, weight in weights.vectors:
+        parts.setdefault(number, []).append((word, weight))
+    most = lambda words: reduce(add, (F.when(F.contains(F.col("said"), F.lit(f" {w} ")), x * x).otherwise(0.0) for w, x in words))
+    lines = lines.where(reduce(or_, (most(words) >= min_cosine**2 - 1e-6 for words in parts.values())))
     key = ["path", "t", "line"]
     terms = lines.withColumn("words", split(F.col("said"))).select(*key, "file_words", F.size("words").alias("n"), F.explode("words").alias("word"))
     terms = terms.groupBy(*key, "file_words", "n", "word").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "word", "left")
-    terms = terms.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
+    terms = materialize(terms.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.other))))
     norms = terms.groupBy(*key).agg(F.sum(F.col("w") * F.col("w")).alias("square"))
     dots = terms.where(F.col("idf").isNotNull()).join(F.broadcast(vectors), "word").groupBy(*key, "file_words", "n", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, key).withColumn("cosine", F.round(F.col("dot") / F.sqrt("square"), 6)).where(F.col("cosine") >= min_cosine)
@@ -104,7 +120,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     Repeated rows are rows of their own. Other columns are ignored.
     """
     own = files.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
-    said = statements(own, templates, min_cosine)
+    said = materialize(statements(own, templates, min_cosine))
     best = said.groupBy("path", "t", "file_words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.sum("words").alias("stated"))
     best = best.select("path", "t", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"), (F.col("stated") >= min_share * F.col("file_words")).alias("licence_file"))
     own = own.select("id", "path", "t", parent(F.col("path")).alias("home")).join(best, ["path", "t"], "left")

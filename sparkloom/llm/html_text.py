@@ -28,24 +28,30 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments commentlist respond replies disqus share sharing social breadcrumb breadcrumbs pagination pager related recommended widget login search".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
 KEPT_TAGS = frozenset("html body article main h1".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
 WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chrome", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "chrome", "marks", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
-        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        found: dict[str, str] = {}
+        for k, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+            found.setdefault(k.lower(), "".join(values))
         roles = set(WORDS.findall(found.get("role", "").lower()))
         named = set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
         self.article = tag in ("article", "main") or bool(roles & ARTICLE_ROLES) or found.get("itemprop", "").lower() == "articlebody"
-        self.chrome = tag in CHROME_TAGS or tag not in KEPT_TAGS and not self.article and ("hidden" in found or bool(roles & CHROME_ROLES) or bool(named & CHROME_WORDS))
+        plain = tag not in KEPT_TAGS and not self.article
+        self.chrome = tag in CHROME_TAGS or plain and ("hidden" in found or bool(roles & CHROME_ROLES))
+        #: Words of class or id that make the node chrome, unless unmark() finds the article in it.
+        self.marks = named & CHROME_WORDS if plain and not self.chrome else frozenset()
         if tag == "header" and not self.chrome:
             self.chrome = not any(x.article for x in self.above())
 
@@ -117,8 +123,39 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def unmark(root: Node) -> None:
+    """Make nodes marked by class or id chrome, but not one that holds an article or most of the page's text outside links.
+
+    Such a mark often tells of what else stands in a wrapper ("has-sidebar"). Inside an article, what holds another one is no
+    wrapper. Comments are chrome where an article stands beside them.
+    """
+    nodes = _nodes(root)
+    if not any(n.marks for n in nodes):
+        return
+    plain, held, linked = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0), {}
+    for n in nodes:
+        linked[n] = n.tag == "a" or n.parent in linked and linked[n.parent]
+    for n in reversed(nodes):
+        if not linked[n]:
+            plain[n] += sum(len(x) - x.count(" ") - x.count("\n") for x in n.items if isinstance(x, str))
+        held[n] += n.article and not n.marks and plain[n] > 0
+        if n.parent:
+            plain[n.parent] += plain[n]
+            held[n.parent] += held[n]
+    around, within = {None: 0}, {None: False}
+    for n in nodes:
+        up = n.parent
+        around[n] = around[up] + (n.article and not n.marks and plain[n] > 0)
+        within[n] = within[up] or n.article and n.tag != "main"
+        if n.marks:
+            beside = held[root] - held[n] - around[up]
+            keep = plain[n] * 2 > plain[root] or held[n] > 0 and not within[up]
+            n.chrome = not keep or beside > 0 and bool(n.marks & COMMENT_WORDS)
+
+
 def weigh(root: Node) -> list[Node]:
-    """Set every node's density and density sum."""
+    """Settle what is chrome and set every other node's density and density sum."""
+    unmark(root)
     nodes = _nodes(root)
     for n in nodes:
         n.chars = n.tags = n.link_chars = n.link_tags = 0

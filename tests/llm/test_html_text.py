@@ -19,6 +19,22 @@ def test_main_text(html, text):
     assert h.main_text(html) == text
 
 
+LONG = "Long paragraph of words here, and more of it."
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="Hidden gems"', "data-x='class=menu'", 'class="content has-sidebar"', 'class="layout no-sidebar"', 'class="page with-header"', "id=search"])
+def test_wrappers(attributes):
+    """A wrapper is not chrome for a word in another attribute's value, nor for a class when the article is in it."""
+    for inner in (f"<article><p>{LONG}</p></article>", f"<main><p>{LONG}</p></main>", f"<p>{LONG}</p>", f"<div class=with-sidebar><p>{LONG}</p></div>"):
+        assert h.main_text(f"<body><div {attributes}>{inner}<div class=sidebar>links</div></div><div class=comments><p>A note.</p></div></body>") == LONG
+
+
+def test_marked_stays_chrome():
+    assert h.main_text(f"<p>{LONG}</p><div hidden>{LONG * 3}</div><div HIDDEN=''>x</div><div role=banner>{LONG * 3}</div>") == LONG
+    assert h.main_text(f"<article><p>{LONG}</p><div class=comments><article>{'A reader. ' * 2}</article></div></article>") == LONG
+    assert h.main_text(f"<article><p>{LONG}</p></article><div class=comments>{'A reader wrote this. ' * 9}</div>") == LONG
+
+
 def test_all_pages(spark):
     """The pages' articles by a plain cut between their tags."""
     path = "/root/testdata/sf0.01/pages.parquet"

@@ -30,6 +30,8 @@ CHROME_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
 KEPT_TAGS = frozenset("html body article main h1".split())
+#: Elements that hold a link list or menu as a whole.
+LISTING = frozenset("ul ol dl div section table center details".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -50,8 +52,11 @@ class Node:
         self.article = tag in ("article", "main") or bool(roles & ARTICLE_ROLES) or found.get("itemprop", "").lower() == "articlebody"
         plain = tag not in KEPT_TAGS and not self.article
         self.chrome = tag in CHROME_TAGS or plain and ("hidden" in found or bool(roles & CHROME_ROLES))
-        #: Words of class or id that make the node chrome, unless unmark() finds the article in it.
+        #: Words of class or id (and an article's roles) that make the node chrome, unless unmark() finds the article in it.
         self.marks = named & CHROME_WORDS if plain and not self.chrome else frozenset()
+        if self.article and tag != "main" and not self.chrome:  # an article's own mark is a whole name, "comment-..." or its role: "comments-open" tells of something else
+            names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+            self.marks = CHROME_WORDS & {x.split("-")[0] if x.startswith("comment-") else x for x in names} | roles & CHROME_ROLES
         if tag == "header" and not self.chrome:
             self.chrome = not any(x.article for x in self.above())
 
@@ -127,7 +132,7 @@ def unmark(root: Node) -> None:
     """Make nodes marked by class or id chrome, but not one that holds an article or most of the page's text outside links.
 
     Such a mark often tells of what else stands in a wrapper ("has-sidebar"). Inside an article, what holds another one is no
-    wrapper. Comments are chrome where an article stands beside them.
+    wrapper. Comments are chrome where an article stands beside them. Marked articles stay where no other is on the page.
     """
     nodes = _nodes(root)
     if not any(n.marks for n in nodes):
@@ -149,7 +154,7 @@ def unmark(root: Node) -> None:
         within[n] = within[up] or n.article and n.tag != "main"
         if n.marks:
             beside = held[root] - held[n] - around[up]
-            keep = plain[n] * 2 > plain[root] or held[n] > 0 and not within[up]
+            keep = plain[n] * 2 > plain[root] or held[n] > 0 and not within[up] or n.article and not held[root]
             n.chrome = not keep or beside > 0 and bool(n.marks & COMMENT_WORDS)
 
 
@@ -178,7 +183,12 @@ def weigh(root: Node) -> list[Node]:
 
 
 def bodies(root: Node) -> list[Node]:
-    """The subtrees that form the article, in page order."""
+    """The subtrees that form the article, in page order; what does not belong to them is taken out of the tree.
+
+    The node of the largest sum counts whole but for link lists below the threshold. If it is in an article element, so do that one and
+    its unmarked siblings of the same tag; else a branch beside its path to the body counts if it reaches the threshold and is not mostly
+    links, and so do headings of the page.
+    """
     nodes = weigh(root)
     text = [n for n in nodes if n.chars]
     if not text:
@@ -186,18 +196,65 @@ def bodies(root: Node) -> list[Node]:
     best = max(text, key=lambda n: n.total)
     if best.total == 0.0:
         best = max(text, key=lambda n: n.density)
-    if lifted := next((n for n in (best, *best.above()) if n.article), None):
-        same = [n for n in nodes if n.article and n.chars and n.tag == lifted.tag and n.parent is lifted.parent]
-        return same or [lifted]
-    path = [n for n in (best, *best.above()) if n.tag not in ("html", "body")]
-    if not path:
-        return [best]
-    threshold = min(n.density for n in path)
-    top = path[-1]
-    out = [n for n in nodes if n.parent is top.parent and n.chars and (n is top or n.density >= threshold and n.link_chars * 2 < n.chars or n.tag in ("h1", "h2", "h3"))]
+    above = [best, *best.above()]
+    if lifted := next((n for n in above if n.article), None):
+        threshold = min(n.density for n in above[: above.index(lifted) + 1])
+        found = [n for n in nodes if n is lifted or n.article and n.chars and n.tag == lifted.tag and n.parent is lifted.parent]
+    else:
+        path = [n for n in above if n.tag not in ("html", "body")] or [best]
+        threshold = min(n.density for n in path)
+        for inner, outer in zip(above, above[1:]):
+            outer.items = [x for run in _runs(outer) if _counts(run, inner, threshold) for x in run]
+        found = [root]
+    for n in found:
+        _drop_links(n, threshold)
+    return found
+
+
+def _inline(x: Node | str) -> bool:
+    """Whether x is text or an inline element without blocks in it."""
+    todo = [x]
+    for y in todo:
+        if isinstance(y, Node) and not y.chrome:
+            if y.tag in BLOCK:
+                return False
+            todo.extend(y.items)
+    return True
+
+
+def _runs(node: Node) -> list[list[Node | str]]:
+    """The items of a node, with text and the inline elements in it as one."""
+    out: list[list[Node | str]] = []
+    last = False
+    for x in node.items:
+        inline = _inline(x)
+        if inline and last:
+            out[-1].append(x)
+        else:
+            out.append([x])
+        last = inline
     return out
 
 
+def _counts(run: list[Node | str], inner: Node, threshold: float) -> bool:
+    """Whether a branch beside inner, a child on the path, belongs to the article; text right in a node of the path does unless it is mostly links."""
+    if inner in run:
+        return True
+    nodes = [x for x in run if isinstance(x, Node) and not x.chrome]
+    links = sum(x.link_chars for x in nodes)
+    if len(run) == 1 and nodes:
+        return nodes[0].tag in ("h1", "h2", "h3") or nodes[0].density >= threshold and links * 2 < nodes[0].chars
+    return links * 2 <= sum(x.chars for x in nodes) + sum(len("".join(x.split())) for x in run if isinstance(x, str))
+
+
+def _drop_links(top: Node, threshold: float) -> None:
+    """Take out the containers below top that are mostly links and do not reach the threshold."""
+    todo = [top]
+    for node in todo:
+        node.items = [x for x in node.items if isinstance(x, str) or x.chrome or not (x.tag in LISTING and x.link_chars * 2 >= x.chars > 0 and x.density < threshold)]
+        todo.extend(x for x in node.items if isinstance(x, Node) and not x.chrome)
+
+
 def blocks(node: Node) -> list[str]:
     """The texts of the blocks below node in page order, white space made one blank."""
     out: list[str] = []

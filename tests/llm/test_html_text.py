@@ -35,6 +35,28 @@ def test_marked_stays_chrome():
     assert h.main_text(f"<article><p>{LONG}</p></article><div class=comments>{'A reader wrote this. ' * 9}</div>") == LONG
 
 
+TOPICS = "<ul class=topics>" + "".join(f"<li><a href=/{k}>Topic number {k}</a></li>" for k in range(9)) + "</ul>"
+BODY = "".join(f"<p>Paragraph {k} of the story, long enough to be read as one.</p>" for k in range(6))
+STORY = "\n".join(f"Paragraph {k} of the story, long enough to be read as one." for k in range(6))
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<body><div id=wrap>{TOPICS}<div>{BODY}</div></div></body>", STORY),
+    (f"<body><div id=wrap>{TOPICS}<div>{STORY}</div></div></body>", " ".join(STORY.split())),
+    (f"<body><div id=wrap><h1>Title</h1>{TOPICS}<div><div>{BODY}</div></div><div><div><a>x</a></div>{TOPICS}</div></div></body>", f"Title\n{STORY}"),
+    (f"<body><div id=wrap><div>{BODY}</div><div><span>Buy</span> <b>now</b></div></div></body>", STORY),
+    (f"<body>{TOPICS}{BODY}{TOPICS}</body>", STORY),
+    (f"<main>{TOPICS}<div>{BODY}</div></main>", STORY),
+    (f"<body><div>By <b>A</b> and <a>B</a><div>{BODY}</div></div></body>", f"By A and B\n{STORY}"),
+    (f"<main><article class=post>{BODY}</article><article class=comment><p>A reader.</p></article><article role=complementary><p>Other.</p></article></main>", STORY),
+    (f"<article class='hentry comments-open'>{BODY}</article><article class='comment-body'><p>A reader.</p></article>", STORY),
+    (f"<article class='hentry'>{BODY}</article><article><p>Part two, short.</p></article>", f"{STORY}\nPart two, short."),
+    (f"<article class=comment>{BODY}</article><article class=comment><p>Two.</p></article>", f"{STORY}\nTwo."),
+])
+def test_selection(html, text):
+    assert h.main_text(html) == text
+
+
 def test_all_pages(spark):
     """The pages' articles by a plain cut between their tags."""
     path = "/root/testdata/sf0.01/pages.parquet"

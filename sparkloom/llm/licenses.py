@@ -1,7 +1,8 @@
 """License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
 A statement is a line of a file that holds a word of some template: any line may be a header, so all lines of the whole text are
-compared. A file most of whose words stand in statements is a licence file and covers its directory; files
+compared. So are, with the notices, longer headers and whole licences (``license_texts``), the file as a whole and its word windows of each
+template's length, for a header may run over lines or stand inside one. A file most of whose words stand in statements is a licence file and covers its directory; files
 without a statement of their own inherit from the nearest ancestor directory that has one.
 """
 
@@ -10,9 +11,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
-from operator import add, or_
+from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
@@ -33,6 +37,20 @@ TEMPLATES = {
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "all-rights-reserved": ["all rights reserved", "copyright all rights reserved"],
 }
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
+_WARRANTY = " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} public license for more details"
+#: Headers of source files that run over several lines.
+HEADERS = {
+    "AGPL-3.0": [_GPL.format("affero general", 3), (_GPL + _WARRANTY).format("affero general", 3, "affero general")],
+    "GPL-2.0": [_GPL.format("general", 2), (_GPL + _WARRANTY).format("general", 2, "general")],
+    "GPL-3.0": [_GPL.format("general", 3), (_GPL + _WARRANTY).format("general", 3, "general")],
+    "LGPL-2.1": [_GPL.format("lesser general", "2 1").replace("program", "library"), (_GPL + _WARRANTY).format("lesser general", "2 1", "lesser general").replace("program", "library")],
+    "LGPL-3.0": [_GPL.format("lesser general", 3), (_GPL + _WARRANTY).format("lesser general", 3, "lesser general")],
+}
+#: A file with none of these words, and too little of every notice, is compared with no longer text.
+LEGAL = ("license", "licence", "licensed", "copyright", "permission", "warranty", "redistribution")
+#: A window moves on by this share of its length, or one word.
+STRIDE = 0.05
 #: Lines that resemble a template this much are statements; files with this share of words in them are licence files.
 MIN_COSINE, MIN_SHARE = 0.8, 0.5
 
@@ -74,37 +92,98 @@ class Weights:
         return sorted(out)
 
 
-def statements(files: DataFrame, templates: dict[str, list[str]] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """path, t, line (from 0), words, file_words, license and cosine of each line whose best template reaches min_cosine.
-
-    files has path, t (a hash of the text) and text. Equal cosines go to the licence of the smaller name. A row that
-    repeats changes nothing: all its counts grow alike, and a cosine has no scale.
+@cache
+def full_texts() -> dict[str, list[str]]:
+    """HEADERS and the licences of the folder license_texts, by SPDX name."""
+    out = {name: list(texts) for name, texts in HEADERS.items()}
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        out.setdefault(file.stem, []).append(file.read_text("utf-8"))
+    return out
+
+
+class Windows:
+    """Cosines of ranges of a file's words to templates."""
+
+    def __init__(self, templates: dict[str, list[str]], min_cosine: float):
+        weights = Weights(templates)
+        self.words = {w: k for k, w in enumerate(weights.idf)}
+        # the last number is that of every word that no template has; such words are told apart only by file
+        self.idf, self.other, self.least = np.array([*weights.idf.values()]), weights.other, min_cosine
+        self.names = {number: name for number, name, _, _ in weights.vectors}
+        self.rows = np.zeros((len(self.names), len(self.words)))
+        for number, _, word, weight in weights.vectors:
+            self.rows[number, self.words[word]] = weight
+        self.lengths = [len(re.findall(WORD, text.lower())) for _, texts in sorted(templates.items()) for text in texts]
+
+    def find(self, words: list[str], lines: np.ndarray) -> list[tuple[float, str, int, int]]:
+        """(-cosine, license, first, until) of the ranges, among windows, lines (bounds) and the whole, that reach the least cosine."""
+        n, number = len(words), {}
+        ids = np.array([self.words[w] if w in self.words else len(self.words) + number.setdefault(w, len(number)) for w in words], np.int64)
+        idf = np.append(self.idf, np.full(len(number), self.other))[ids]
+        # a cosine is at most the length of what the file has of the template's vector
+        has = np.zeros(len(self.words), bool)
+        has[ids[ids < len(self.words)]] = True
+        reach = (self.rows**2) @ has >= self.least**2 - 1e-6
+        squares = np.append(0.0, np.cumsum(idf**2))
+        known = ids < len(self.words)
+        out, norms = [], {}
+        for t, length in enumerate(self.lengths):
+            if not reach[t]:
+                continue
+            dots = np.append(0.0, np.cumsum(np.where(known, self.rows[t][np.where(known, ids, 0)], 0.0) * idf))
+            first = np.arange(0, max(0, n - length) + 1, max(1, int(length * STRIDE)))
+            ranges = np.concatenate([np.stack([first, np.minimum(n, first + length)], 1), np.array([[max(0, n - length), n], [0, n]]), lines])
+            dot = dots[ranges[:, 1]] - dots[ranges[:, 0]]
+            # a word that repeats only makes the range's vector longer, so this bounds the cosine from above
+            may = dot >= (self.least - 1e-6) * np.sqrt(squares[ranges[:, 1]] - squares[ranges[:, 0]])
+            for (a, b), d in {(int(a), int(b)): d for (a, b), d in zip(ranges[may], dot[may]) if b > a}.items():
+                if (a, b) not in norms:
+                    own, tf = np.unique(ids[a:b], return_counts=True)
+                    norms[a, b] = math.sqrt(((tf * np.where(own < len(self.idf), self.idf[np.minimum(own, len(self.idf) - 1)], self.other)) ** 2).sum())
+                if (cosine := round(d / norms[a, b], 6)) >= self.least:
+                    out.append((-cosine, self.names[t], a, b))
+        return out
+
+
+def own(found: list[tuple[float, str, int, int]], long: int | None) -> list[tuple[float, str, int, int]]:
+    """found, best first, without the notices that are part of a matching text of long words or more and twice their length."""
+    at = np.array([x[2:] for x in found])
+    size = at[:, 1] - at[:, 0]
+    part = np.zeros(len(at), bool)
+    for a, b in {tuple(x) for x in at[size >= long].tolist()} if long else ():
+        part |= (at[:, 0] >= a) & (at[:, 1] <= b) & (size * 2 <= b - a)
+    return sorted(x for x, inside in zip(found, part) if not inside)
+
+
+def passages(files: DataFrame, templates: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """path, t, license, cosine, stated and file_words of the files with a range of words that reaches min_cosine.
+
+    files has path, t (a hash of the text) and text; texts are longer templates. Equal cosines go to the licence of the smaller name. stated counts the words of the best ranges that do not overlap.
     """
-    spark, weights = files.sparkSession, Weights(templates or TEMPLATES)
-    idf = spark.createDataFrame(sorted(weights.idf.items()), "word string, idf double")
-    vectors = spark.createDataFrame(weights.vectors, "template int, license string, word string, weight double")
-    sure = weights.telling(min_cosine)
-    plain = lambda text: F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    holds = lambda text: reduce(or_, (F.contains(text, F.lit(f" {w} ")) for w in sure))
-    split = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = files.select("path", "t", "text", plain(F.col("text")).alias("plain")).where(holds(F.col("plain")))
-    lines = some.select("path", "t", F.size(split(F.col("plain"))).alias("file_words"), F.posexplode(F.split(F.lower("text"), r"\n|\r")).alias("line", "said"))
-    lines = lines.withColumn("said", plain(F.col("said"))).where(holds(F.col("said")))
-    # a cosine is at most the length of what the line has of the template's vector
-    parts: dict[int, list[tuple[str, float]]] = {}
-    for number, _, word, weight in weights.vectors:
-        parts.setdefault(number, []).append((word, weight))
-    most = lambda words: reduce(add, (F.when(F.contains(F.col("said"), F.lit(f" {w} ")), x * x).otherwise(0.0) for w, x in words))
-    lines = lines.where(reduce(or_, (most(words) >= min_cosine**2 - 1e-6 for words in parts.values())))
-    key = ["path", "t", "line"]
-    terms = lines.withColumn("words", split(F.col("said"))).select(*key, "file_words", F.size("words").alias("n"), F.explode("words").alias("word"))
-    terms = terms.groupBy(*key, "file_words", "n", "word").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "word", "left")
-    terms = materialize(terms.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.other))))
-    norms = terms.groupBy(*key).agg(F.sum(F.col("w") * F.col("w")).alias("square"))
-    dots = terms.where(F.col("idf").isNotNull()).join(F.broadcast(vectors), "word").groupBy(*key, "file_words", "n", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, key).withColumn("cosine", F.round(F.col("dot") / F.sqrt("square"), 6)).where(F.col("cosine") >= min_cosine)
-    best = scored.groupBy(*key, "file_words", F.col("n").alias("words")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select(*key, "words", "file_words", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    tables = [Windows(x, min_cosine) for x in (templates or TEMPLATES, texts) if x]
+    sure = {*Weights(templates or TEMPLATES).telling(min_cosine), *(LEGAL if texts else ())}
+    holds = F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(sorted(sure))})(?![a-z0-9])")
+    some = files.select("path", "t", "text").where(holds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, t, text in zip(batch.path, batch.t, batch.text):
+                said = [re.findall(WORD, x) for x in re.split(r"\n|\r", text.lower())]
+                words = [w for line in said for w in line]
+                ends = np.cumsum([len(x) for x in said])
+                lines = np.stack([np.append(0, ends[:-1]), ends], 1)
+                found = [x for table in tables for x in table.find(words, lines)] if words else []
+                if found:
+                    found = own(found, min(tables[-1].lengths) if texts else None)
+                    taken = np.zeros(len(words), bool)
+                    for _, _, a, b in sorted(found, key=lambda x: (x[2] - x[3], x)):
+                        if not taken[a:b].any():
+                            taken[a:b] = True
+                    out.append((path, t, found[0][1], -found[0][0], int(taken.sum()), len(words)))
+            yield pd.DataFrame(out, columns=["path", "t", "license", "cosine", "stated", "file_words"])
+
+    return some.mapInPandas(run, "path string, t long, license string, cosine double, stated long, file_words long")
 
 
 def parent(path: Column) -> Column:
@@ -112,7 +191,7 @@ def parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_extract(path, r"^((?s:.*))/", 1)).otherwise("")
 
 
-def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, min_cosine: float = MIN_COSINE, min_share: float = MIN_SHARE) -> DataFrame:
+def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, min_cosine: float = MIN_COSINE, min_share: float = MIN_SHARE, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """Per file: id, path, license, cosine, licence_file and inherited_from (a directory; null where the license is its own or none).
 
     A file's own license is its best statement's, then the smaller name's. A directory's is its best licence file's, by cosine, then
@@ -120,9 +199,10 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     Repeated rows are rows of their own. Other columns are ignored.
     """
     own = files.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
-    said = materialize(statements(own, templates, min_cosine))
-    best = said.groupBy("path", "t", "file_words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.sum("words").alias("stated"))
-    best = best.select("path", "t", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"), (F.col("stated") >= min_share * F.col("file_words")).alias("licence_file"))
+    texts = full_texts() if templates is None and texts is None else texts
+    said = materialize(passages(own, templates, texts, min_cosine))
+    best = said.groupBy("path", "t").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max(F.col("stated") >= min_share * F.col("file_words")).alias("licence_file"))
+    best = best.select("path", "t", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"), "licence_file")
     own = own.select("id", "path", "t", parent(F.col("path")).alias("home")).join(best, ["path", "t"], "left")
 
     heads = best.where("licence_file").select(parent(F.col("path")).alias("dir"), F.struct((-F.col("own_cosine")).alias("c"), "path", F.col("own_license").alias("license")).alias("head"))

@@ -63,3 +63,23 @@ def test_documents(spark):
     files = duckdb.sql(f"SELECT doc_id, concat_ws('/', source, lang, doc_id), text FROM '{path}'").fetchall()
     got = x.scan(spark.read.parquet(path), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))).collect()
     assert sorted(map(tuple, got), key=str) == brute(files)
+
+
+def test_full_texts(spark):
+    """Whole licence files cover their directories, and headers count over several lines or inside one."""
+    text = lambda name: "\n".join(x.full_texts()[name][-1:]).replace("\t", " ")
+    mit = text("MIT").partition("Permission is")
+    header = x.full_texts()["GPL-3.0"][0].split()
+    lines = "\n".join(" * " + " ".join(header[k : k + 9]) for k in range(0, len(header), 9))
+    pad = "def value of some other code " * 400
+    files = [
+        (1, "a/LICENSE", "Copyright (c) 2031 Jo Doe\n\n" + mit[1] + mit[2]), (2, "a/x/y.py", "code"), (3, "b/LICENSE", text("Apache-2.0")), (4, "b/c.py", "code"), (5, "b/g/COPYING", text("GPL-3.0")), (6, "b/g/h/i.c", None),
+        (7, "n/one.c", f"/*\n{lines}\n */\n{pad}"), (8, "n/two.txt", f"{pad} licensed under the Apache License, Version 2.0 {pad}"), (9, "n/mit.c", pad + "\n" + text("MIT") + pad), (10, "n/none.c", pad + " the license of this is none"), (11, "g2/COPYING", text("GPL-2.0")),
+        (12, "n/README", pad * 3 + text("GPL-3.0")), (13, "d/LICENSE", text("BSD-2-Clause")), (14, "e/LICENSE", text("BSD-3-Clause")), (15, "n/all.txt", pad + "Copyright 2031 X. All rights reserved. " + pad),
+    ]
+    frame = spark.createDataFrame(files, "doc_id long, p string, text string")
+    got = {r.id: (r.license, r.licence_file, r.inherited_from) for r in x.scan(frame, F.col("p")).collect()}
+    assert got == {
+        1: ("MIT", True, None), 2: ("MIT", False, "a"), 3: ("Apache-2.0", True, None), 4: ("Apache-2.0", False, "b"), 5: ("GPL-3.0", True, None), 6: ("GPL-3.0", False, "b/g"), 7: ("GPL-3.0", False, None), 8: ("Apache-2.0", False, None),
+        9: ("MIT", False, None), 10: (None, False, None), 11: ("GPL-2.0", True, None), 12: ("GPL-3.0", got[12][1], None), 13: ("BSD-2-Clause", True, None), 14: ("BSD-3-Clause", True, None), 15: ("all-rights-reserved", False, None),
+    }

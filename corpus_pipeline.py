@@ -27,13 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each component of the n-gram join, and all without links."""
+    """The row of the least id of each component of the n-gram join, and all without links; rows are judged by their own texts."""
     return ngram_join.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"), NGRAM)
+    """Rows without any passage of the benchmark, with or without ids."""
+    return decontaminate.remove_rows(docs, table(spark, sf_dir, "benchmark"), NGRAM)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

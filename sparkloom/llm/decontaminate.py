@@ -102,6 +102,15 @@ def remove_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
 
 
+def remove_rows(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose own text is not contaminated, whatever their ids; items without an id count too."""
+    # a row without a text is never contaminated; its id keeps such rows apart
+    key = F.coalesce(F.md5(F.when(F.col(text_col) != "", F.col(text_col))), F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none"))
+    named = items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
+    bad = contamination(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), named, n).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").select(*docs.columns)
+
+
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every hit word, and what separates it from the next word, cut out of the text. Ids must be unique."""
     bad = contamination(docs, items, n, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("spans").alias("__spans"))

@@ -353,7 +353,24 @@ def nameless(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNull()).mapInPandas(run, "doc_id long, n_shingles long, component_id long")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, without the documents whose component has a smaller id; rows without links all stay."""
-    gone = ngram_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, with one row of each component of linked texts: that of the least id (null last), then text hash.
+
+    Each row is judged by its own text, whatever its id: texts are joined under their hashes. Rows without n-grams all stay.
+    """
+    hash_ = F.xxhash64(F.col(text_col).cast("string"))
+    found = ngram_join(docs.select(hash_.alias("doc_id"), F.col(text_col).alias("text"))).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("__h"), F.col("component_id").alias("__c")).distinct()
+    # ids and hashes alone are grouped, so copies and hot components stay small
+    rows = docs.select(F.col(id_col).alias("__id"), hash_.alias("__h")).groupBy("__id", "__h").agg(F.count("*").alias("__k"))
+    rows = materialize(rows.join(found, "__h"))
+    first = rows.groupBy("__c").agg(F.sum("__k").alias("all"), F.min(F.struct(F.col("__id").isNull().alias("n"), "__id", "__h", "__k")).alias("x")).where("all > 1")
+    first = first.select("__c", F.col("x.__id").alias("__first"), F.col("x.__h").alias("__own"), F.col("x.__k").alias("__same"))
+    crowded = materialize(rows.select("__h", "__c").distinct().join(first, "__c"))
+    placed = docs.withColumn("__hash", hash_).join(crowded, F.col("__hash") == F.col("__h"), "left")
+    chosen = F.col(id_col).eqNullSafe(F.col("__first")) & (F.col("__hash") == F.col("__own"))
+    out = placed.where(F.col("__c").isNull() | chosen & (F.col("__same") == 1)).select(*docs.columns)
+    if crowded.where((F.col("__same") > 1) & (F.col("__h") == F.col("__own"))).isEmpty():
+        return out
+    # rows that repeat id and text: any one of them
+    return out.unionByName(placed.where(chosen & (F.col("__same") > 1)).dropDuplicates(["__c"]).select(*docs.columns))

@@ -50,3 +50,21 @@ def test_empty_and_null(spark):
             docs = materialize(stage(spark, docs, SF))
         assert p.write_tokens(spark, docs, SF).count() == n
     assert token_output.token_output(rows, f"{TOKENIZERS}/word_bpe_49k.json").count() == 3
+
+
+def test_rows_are_judged_by_their_own_texts(spark, monkeypatch):
+    """Null and repeated ids: a clean row stays beside a contaminated or copied one, and a copy goes."""
+    passage = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    rows = [(None, f"so {passage}"), (None, "clean words"), (None, None), (5, f"and {passage}"), (5, "clean too"), (6, ""), (6, f"{passage} again")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    monkeypatch.setattr(p, "table", lambda *_: items)
+    assert sorted(r.k for r in p.drop_contaminated(spark, docs, SF).collect()) == [1, 2, 4, 5]
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (3, b), (3, b), (7, c), (9, c), (9, "a text of its own that shares an id"), (None, b + " more"), (None, ""), (None, ""), (None, None), (4, "short"), (2, "short")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    kept = p.drop_near_duplicates(spark, docs, SF)
+    got = sorted((r.k for r in kept.collect()))
+    assert kept.columns == docs.columns
+    assert len(got) == 8 and len({0, 1} & set(got)) == 1 and len({2, 3} & set(got)) == 1 and set(got) - {0, 1, 2, 3} == {4, 6, 8, 9, 10, 12}

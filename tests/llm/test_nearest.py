@@ -28,6 +28,25 @@ def test_recall(spark):
     assert sum(len({v for v, _ in got[q]} & {v for v, _ in w}) for q, w in want.items()) >= 0.92 * 10 * len(want)
 
 
+def test_near_copies(spark, monkeypatch):
+    """A group of near copies that shares few codes: the nearest of it are found, not the smallest ids."""
+    monkeypatch.setattr(nearest, "SAMPLE", 200)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 16))
+    ids = np.arange(len(x))
+    # one row of the group is in the fitting sample
+    order = [r.id for r in spark.range(len(x)).orderBy(F.xxhash64("id"), "id").collect()]
+    group = np.array(order[:1] + order[-3000:])
+    x[group] = x[group[0]] + 1e-4 * rng.normal(size=(len(group), 16))
+    asked = np.sort(group)[::100]
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(frame, F.col("vec_id").isin(asked.tolist())).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(ids, x, asked)
+    assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= 0.99 * 10 * len(want)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [None, 1.0], 1), (None, [1.0, 1.0], 1), (9, [1.0, 2.0, 3.0], 1), (100, [0.0, 0.0], 1)]

@@ -18,6 +18,7 @@ wide           bool    whether ids take 32 bits
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -81,31 +82,102 @@ class EliasFano:
         return upper << self.low_bits | held >> first % 8 & (1 << self.low_bits) - 1
 
 
-#: A stop or comma that ends a word; the vocabulary parts it from letters and digits in any case.
-END = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|\Z)")
-
-
-def _is_latin(text: str) -> bool:
+#: The normaliser and pre-tokenizer (as the library writes them) under which a text's ids are those of its pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: Kinds of Latin-1 bytes of a lower-cased text: between pieces, letters, digits (each a piece), marks, and what only the library parts.
+BLANK, LETTER, DIGIT, MARK, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = MARK
+KIND[[32, 10]] = BLANK
+KIND[48:58] = DIGIT
+KIND[97:123] = KIND[0xDF:0xF7] = KIND[0xF8:] = LETTER
+KIND[0xF7] = OTHER
+PLAIN = bytes(k for k in range(256) if KIND[k] != OTHER)
+#: Characters of texts that are parted together.
+LOT = 1 << 20
+
+
+def _plain(text: str) -> bytes | None:
+    """The lower-cased Latin-1 bytes of a text whose pieces KIND tells apart; None for any other text.
+
+    Lower-casing, which the vocabulary does itself, is the same for each letter of Latin-1; special tokens begin with <|.
+    """
     try:
-        text.encode("latin-1")
+        data = text.lower().encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
+    return None if b"<|" in data or data.translate(None, PLAIN) else data
+
+
+def _pieces(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces: runs of letters or of marks and single digits; what holds an apostrophe stays whole between blanks."""
+    code = np.frombuffer(data, np.uint8)
+    kind = KIND[code]
+    held = kind != BLANK
+    before = np.append(np.uint8(BLANK), kind[:-1])
+    start = held & ((kind != before) | (kind == DIGIT))
+    if len(quotes := np.flatnonzero(code == 39)):
+        first = held & (before == BLANK)
+        run = np.cumsum(first)
+        whole = np.zeros(int(run[-1]) + 1, bool)
+        whole[run[quotes]] = True
+        start &= first | ~whole[run]
+    bounds = np.append(np.flatnonzero(start | ~held), len(code))
+    own = np.flatnonzero(start[bounds[:-1]])
+    return bounds[own], bounds[own + 1]
+
+
+def _kinds(data: bytes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each piece's spelling, and a piece of each spelling."""
+    code = np.frombuffer(data + bytes(8), np.uint8)
+    size = last - first
+    words = np.lib.stride_tricks.sliding_window_view(code, 8)
+    mask = (1 << np.minimum(size, 8).astype(np.uint64) * np.uint64(8)) - np.uint64(1)
+    mask[size >= 8] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    head = np.ascontiguousarray(words[first]).view("<u8").ravel() & mask
+    tail = np.where(size > 8, np.ascontiguousarray(words[np.maximum(first, last - 8)]).view("<u8").ravel(), np.uint64(0))
+    # size, head and tail tell pieces of up to 16 bytes apart; longer ones are numbered besides
+    key = head * np.uint64(0x9E3779B97F4A7C15)
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + tail * np.uint64(0xA24BAED4963EE407) + size.astype(np.uint64)
+    long = np.flatnonzero(size > 16)
+    number: dict[bytes, int] = {}
+    inner = np.zeros(len(size), np.int64)
+    inner[long] = [number.setdefault(data[a:b], len(number) + 1) for a, b in zip(first[long].tolist(), last[long].tolist())]
+    key += inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    kind, _ = pd.factorize(key)
+    some = np.zeros(int(kind.max()) + 1 if len(kind) else 0, np.int64)
+    some[kind] = np.arange(len(kind))
+    like = some[kind]
+    if not ((head == head[like]) & (tail == tail[like]) & (size == size[like]) & (inner == inner[like])).all():
+        kind, some = np.arange(len(kind)), np.arange(len(kind))  # two spellings met in one key: none is shared
+    return kind, some
 
 
 class WordEncoder:
-    """Whole texts to ids, with the ids of each space-separated piece remembered.
+    """Whole texts to ids.
 
-    The vocabulary's pre-tokenizer never joins what a blank or a newline separates, so the ids of a text are those
-    of its pieces in order. Unseen pieces of letters go to the tokenizer many at a time and are told
-    apart by their word-end ids; every other unseen piece goes there by itself.
+    With the vocabulary's NORMALIZER and PRE_TOKENIZER, the ids of a text are those of its pieces in order, and each piece is encoded once
+    and remembered. Pieces of plain texts are told apart for many texts at once; other texts are parted at blanks only. Any
+    other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
         vocab = self.tokenizer.get_vocab()
+        # a special token must keep its place whole: it has no blank in it and begins with <|
+        special = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+        self.parted = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and special and spec["truncation"] is None and spec["padding"] is None
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
         self.wide = len(self.ends) > 1 << 16
@@ -113,6 +185,9 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         if len(self.memo) + len(pieces) > MEMO_WORDS:
             self.memo, self.old = {}, self.memo
@@ -129,24 +204,55 @@ class WordEncoder:
                 data, cut = ids.tobytes(), cut.tolist()
                 own.update((w, data[a:b]) for w, a, b in zip(few, [0, *cut], cut))
         for p in pieces - own.keys():
-            own[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype).tobytes()
+            own[p] = self._ids(self.tokenizer.encode(p, add_special_tokens=False).ids)
         self.memo.update(own)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        out = []
-        for text in texts:
-            if "<|" not in text and _is_latin(text):  # lower-casing, which the vocabulary does itself, is the same for each letter
-                text = END.sub(r" \1", text.lower())
-            pieces = text.replace("\n", " ").split(" ")
-            found = list(map(self.memo.get, pieces))
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        found = list(map(self.memo.get, pieces))
+        for _ in range(2):  # a new generation may begin while pieces are learned
             if None in found:
                 self._learn({p for p, ids in zip(pieces, found) if ids is None})
                 found = list(map(self.memo.get, pieces))
-                if None in found:  # a new generation began meanwhile
-                    self._learn({p for p, ids in zip(pieces, found) if ids is None})
-                    found = [self.memo[p] for p in pieces]
-            out.append(b"".join(found))
+        return found if None not in found else [self._ids(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in pieces]
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts."""
+        data = b"\n".join(texts)
+        first, last = _pieces(data)
+        if not len(first):
+            return [b""] * len(texts)
+        kind, some = _kinds(data, first, last)
+        ids = self._known([data[a:b].decode("latin-1") for a, b in zip(first[some].tolist(), last[some].tolist())])
+        size = np.array([len(x) for x in ids]) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        n = size[kind]
+        until = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(size) - size)[kind] - (until - n), n) + np.arange(until[-1])].tobytes()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cut = np.append(0, until)[np.searchsorted(first, ends)] * self.dtype.itemsize
+        return [out[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist())]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        if not self.parted:
+            return [self._ids(e.ids) for text in texts for e in [self.tokenizer.encode(text, add_special_tokens=False)]]
+        out: list[bytes | None] = [None] * len(texts)
+        lot: list[tuple[int, bytes]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if (data := _plain(text)) is None:
+                out[i] = b"".join(self._known(text.replace("\n", " ").split(" ")))
+                continue
+            lot.append((i, data))
+            size += len(data)
+            if size >= LOT:
+                for (k, _), ids in zip(lot, self._together([x for _, x in lot])):
+                    out[k] = ids
+                lot, size = [], 0
+        if lot:
+            for (k, _), ids in zip(lot, self._together([x for _, x in lot])):
+                out[k] = ids
         return out
 
 
@@ -183,9 +289,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
             return pd.DataFrame([[part, number, before, len(ids), int(ends[-1]), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), np.array(ids, "<i8").tobytes(), b"".join(coded), encoder.wide]], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.doc_id, batch.text):
+            for doc, own in zip(batch.doc_id, encoder.encode(list(batch.text))):
                 ids.append(np.iinfo(np.int64).min if pd.isna(doc) else int(doc))
-                coded.append(encoder.encode([text])[0] + end)
+                coded.append(own + end)
                 held += len(coded[-1]) // encoder.dtype.itemsize
                 if held >= BLOCK_IDS:
                     yield block()
@@ -223,6 +329,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return blocks.join(F.broadcast(bases), "part").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def tokens_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, start and ids of the named few documents: two selects find each, and no other boundary is decoded."""
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    bases = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    wanted = np.array(sorted(doc_ids), np.int64)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch.itertuples(index=False):
+                docs, ef = np.frombuffer(b.doc_ids, "<i8"), EliasFano(b.n_docs, b.low_bits, b.low, b.high, b.samples)
+                at = np.flatnonzero(np.isin(docs, wanted))
+                bounds = [(ef.select(i - 1) if i else 0, ef.select(i)) for i in at.tolist()]
+                ids = np.frombuffer(b.ids, "<u4" if b.wide else "<u2")
+                yield pd.DataFrame({"doc_id": docs[at], "start": [b.base + b.part_start + s for s, _ in bounds], "ids": [ids[s:e].astype(np.int64) for s, e in bounds]})
+
+    return blocks.join(F.broadcast(bases), "part").mapInPandas(find, "doc_id long, start long, ids array<long>")
+
+
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None) -> DataFrame:
     """Write the token file into the shared folder and return what reading it back says of each document."""
     path = shared_dir(docs.sparkSession)

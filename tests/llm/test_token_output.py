@@ -32,3 +32,34 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert t.token_output(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_library_s(name):
+    """Whole documents and hostile strings, also of a vocabulary whose pieces cannot be told apart."""
+    import random
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = f"/opt/tokenizers/{name}"
+    tokenizer, encoder, rng = Tokenizer.from_file(path), t.WordEncoder(path), random.Random(5)
+    letters = "abcXYZ  \n'''\"stmdlrev.,;:!?0129éßÿÀ÷×µªº<|>-_\t\x85\xa0½²#&Σ́"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", "<|endoftext|> x<|startoftext|>y", "İstanbul ﬁ ΣΑΣ", "don't 's''s x'll'd '", "pneumonoultramicroscopicsilicovolcanoconiosis " * 3 + "pneumonoultramicroscopicsilicovolcanoconiosi"]
+    texts += [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for own, text in zip(encoder.encode(texts), texts):
+        assert np.frombuffer(own, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_select_finds_few_documents(spark):
+    from sparkloom.llm.common import shared_dir
+
+    rows = [(i, f"word {i} " * (i % 7)) for i in range(300)]
+    path = shared_dir(spark)
+    t.write(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, 2)
+    whole = {r.doc_id: r for r in t.read(spark, path).collect()}
+    got = t.tokens_of(spark, path, [0, 64, 299, 1000]).collect()
+    assert sorted(r.doc_id for r in got) == [0, 64, 299]
+    for r in got:
+        assert r.start == whole[r.doc_id].start and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == whole[r.doc_id].ids_crc32

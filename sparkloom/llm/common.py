@@ -14,11 +14,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests on one machine) a temporary
-    folder takes its place.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a temporary
+    folder; on a cluster, whose executors would not share it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sparkloom/{uuid.uuid4().hex}"

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .common import materialize
 
 
 def fold(id_: Column, folds: int) -> Column:
@@ -11,11 +18,15 @@ def fold(id_: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels to learn from, and the share of label 1 among all that may be: of each class, the per_class rows of least id hash outside the held-out fold.
+#: Bytes of text of each class that are learned from at most (and one text more).
+CLASS_BYTES = 24 << 20
+
 
-    The bound holds for what is broadcast (ids) and what reaches the driver (texts). A document whose labels contradict each other
-    is left out, and so are labels of neither 0 nor 1.
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, class_bytes: int = CLASS_BYTES) -> DataFrame:
+    """doc_id, text, y and prior of the rows to learn from; prior is the share of label 1 among all that may be.
+
+    Of each class these are the per_class rows of least id hash outside the held-out fold, until their texts reach class_bytes. A document
+    whose labels contradict each other is left out, and so are labels of neither 0 nor 1. Only two counts reach the driver.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     rows = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("__id", "y")
@@ -23,10 +34,28 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     few = [rows.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
     ids = few[0].union(few[1])
     own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    # one text for each id, should ids repeat, and an order that no partitioning changes
-    got = own.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: r.doc_id)
-    return [r.text for r in got], np.array([r.y for r in got], np.float32), counts.get(1, 0) / max(1, sum(counts.values()))
+    # one text for each id, should ids repeat
+    own = materialize(own.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    sizes = own.select("doc_id", "y", F.octet_length("text").alias("size"))
+    before = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < class_bytes)
+    own = own.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi")
+    return own.select("doc_id", "text", F.col("y").cast("int").alias("y"), F.lit(counts.get(1, 0) / max(1, sum(counts.values()))).alias("prior"))
+
+
+def learn(rows: DataFrame, kind: Callable[[list[str], np.ndarray, float], Any]) -> Any:
+    """kind(texts, y, prior) of sample()'s rows, made in one task: the driver gets the trained weights alone.
+
+    The rows come in the order of their ids, which no partitioning changes. Without rows, kind has none to learn from.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "y": [], "prior": []})]).sort_values("doc_id")
+        prior = float(got.prior.iloc[0]) if len(got) else 0.0
+        yield pd.DataFrame({"model": [pickle.dumps(kind([str(t) for t in got.text], got.y.to_numpy(np.float32), prior))]})
+
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made[0]) if made else kind([], np.zeros(0, np.float32), 0.0)
 
 
 class Adam:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .labelled import Adam, balance, fold, platt, sample, sigmoid
+from .labelled import Adam, balance, fold, learn, platt, sample, sigmoid
 
 PASSAGE_WORDS = 64
 HIDDEN, ATTENTION = 16, 8
@@ -120,11 +120,16 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> Model:
     """Learn from labels.quality outside the held-out fold, per_class documents of each class at most."""
-    return Model(*sample(docs, labels, "quality", folds, held_out, per_class))
+    return learn(sample(docs, labels, "quality", folds, held_out, per_class), Model)
 
 
-def quality(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with quality: 0 to 1 from the whole text alone. Null counts as empty, which is one passage of no words."""
+def quality(docs: DataFrame, model: Model, name: str = "quality") -> DataFrame:
+    """docs with a further column of that name: 0 to 1 from the whole text alone. Null counts as empty, which is one passage of no words.
+
+    A name that docs has already is an error, so no column is ever overwritten.
+    """
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -132,7 +137,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series(shared.value.score([t if isinstance(t, str) else "" for t in batch]))
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("quality", F.pandas_udf(run, "double")(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:

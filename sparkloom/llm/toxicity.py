@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .labelled import Adam, balance, fold, platt, sample, sigmoid
+from .labelled import Adam, balance, fold, learn, platt, sample, sigmoid
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, ATTENTION = 8, 8
@@ -25,8 +25,6 @@ GRAMS = (3, 4, 5)
 #: Labelled documents of each class that are learned from at most.
 PER_CLASS = 1500
 EPOCHS = 10
-#: Windows of a text that training picks the deciding one from.
-LIKELY = 6
 #: Words that a worker remembers at most.
 MEMO_WORDS = 400_000
 
@@ -222,17 +220,13 @@ class Model:
         cuts = [windows(ids + k * len(place)) for ids, k in zip(own, y.astype(np.int32))]
         owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
         rows = np.concatenate([c for c in cuts if len(c)])
-        # what trains are each text's windows of most evidence: no other comes near to deciding it
-        first = inputs[rows][:, :, :2].max(2).max(1)
-        order = np.lexsort((-first, owner))
-        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        likely = order[rank < LIKELY]
+        # of each text its likeliest window trains: at first that of most evidence, then the one the network itself puts first
+        score = inputs[rows][:, :, :2].max(2).max(1)
         adam, rng, weight = Adam(self.network.p, 0.01), np.random.default_rng(3), balance(y)
+        clean = np.flatnonzero(y[owner] == 0)
         for epoch in range(EPOCHS):
-            score = first[likely] if epoch == 0 else self._logits(inputs, rows[likely])
-            chosen = likely[_best(owner[likely], score)]
+            chosen = _best(owner, score if epoch == 0 else self._logits(inputs, rows))
             if epoch:  # of clean texts another window too, so that no window of them is far from clean
-                clean = np.flatnonzero(y[owner] == 0)
                 chosen = np.concatenate([chosen, rng.choice(clean, min(len(clean), len(chosen)), replace=False)])
             rng.shuffle(chosen)
             for at in range(0, len(chosen), 128):
@@ -307,14 +301,27 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Model:
     """Learn from labels.toxic outside the held-out fold, per_class documents of each class at most."""
-    return Model(*sample(docs, labels, "toxic", folds, held_out, per_class))
+    return learn(sample(docs, labels, "toxic", folds, held_out, per_class), Model)
 
 
-def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity: 0 to 1, from the whole text alone. Null and word-less texts have 0; all columns stay."""
+def toxicity(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with a further column of that name: 0 to 1, from the whole text alone. Null and word-less texts have 0; all columns stay.
+
+    A name that docs has already is an error, so no column is ever overwritten.
+    """
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {name} already")
     spark_model = docs.sparkSession.sparkContext.broadcast(model)  # two tables of 65536 log ratios and the weights
     score = F.pandas_udf(_scores(spark_model), "double")
-    return docs.withColumn("toxicity", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
+
+
+def remove(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns whatever their names, that score below threshold."""
+    name = "__toxicity"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return toxicity(docs, model, name).where(F.col(name) < threshold).drop(name)
 
 
 def _scores(model):

@@ -23,7 +23,7 @@ END_ID = 2
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones outside its held-out fold, does not reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return toxicity.remove(docs, model, TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token file of the documents in the order in which docs is laid out, and what reading it back says of each."""
-    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return token_output.token_output(placed, f"{TOKENIZERS}/word_bpe_49k.json", END_ID, place=["file", "row"])
+    # a part's number may outgrow its five digits, so names do not order files
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return token_output.token_output(placed, f"{TOKENIZERS}/word_bpe_49k.json", END_ID, place=["part", "file", "row"])
 
 
 STAGES = [

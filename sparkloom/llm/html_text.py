@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select button object audio video canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul caption head".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "head", "body", "option", "legend"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -28,6 +28,11 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments commentlist respond replies disqus share sharing social breadcrumb breadcrumbs pagination pager related recommended widget login search".split()
 )
+#: Words that may stand beside those in a name ("site-header", "cookie-box"); any other makes it tell of something else ("notice-period").
+FRAME_WORDS = frozenset("site main top bottom left right inner outer box bar list area block wrapper wrap container region panel link links primary secondary global sticky fixed body count thread".split())
+#: Headings of reader comments.
+COMMENT_HEADING = re.compile(r"(?i)\s*(?:\d+ )?(?:reader |readers' |user )?(?:comments?|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply)|responses|discussion)\s*(?:\(\d+\)|:)?\s*")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
 KEPT_TAGS = frozenset("html body article main h1".split())
 #: Elements that hold a link list or menu as a whole.
@@ -37,6 +42,7 @@ ARTICLE_ROLES = frozenset(("main", "article"))
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
 WORDS = re.compile(r"[a-z0-9]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -48,9 +54,10 @@ class Node:
         for k, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             found.setdefault(k.lower(), "".join(values))
         roles = set(WORDS.findall(found.get("role", "").lower()))
-        named = set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        whole = [set(WORDS.findall(CAMEL.sub("-", x).lower())) for x in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        named = set().union(*(x for x in whole if x <= CHROME_WORDS | FRAME_WORDS))
         self.article = tag in ("article", "main") or bool(roles & ARTICLE_ROLES) or found.get("itemprop", "").lower() == "articlebody"
-        plain = tag not in KEPT_TAGS and not self.article
+        plain = tag not in KEPT_TAGS and tag not in HEADINGS and not self.article
         self.chrome = tag in CHROME_TAGS or plain and ("hidden" in found or bool(roles & CHROME_ROLES))
         #: Words of class or id (and an article's roles) that make the node chrome, unless unmark() finds the article in it.
         self.marks = named & CHROME_WORDS if plain and not self.chrome else frozenset()
@@ -128,6 +135,16 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def _remarks(root: Node) -> None:
+    """Mark the containers that open with a heading of reader comments and hold more than it."""
+    for node in _nodes(root):
+        if node.tag in HEADINGS and node.parent and node.parent.tag in LISTING and not node.parent.article:
+            first = next((x for x in node.parent.items if isinstance(x, Node) or x.strip()), None)
+            said = "".join(x for x in node.items if isinstance(x, str))
+            if first is node and len(node.parent.items) > 1 and COMMENT_HEADING.fullmatch(said):
+                node.parent.marks = node.parent.marks | {"comments"}
+
+
 def unmark(root: Node) -> None:
     """Make nodes marked by class or id chrome, but not one that holds an article or most of the page's text outside links.
 
@@ -160,6 +177,7 @@ def unmark(root: Node) -> None:
 
 def weigh(root: Node) -> list[Node]:
     """Settle what is chrome and set every other node's density and density sum."""
+    _remarks(root)
     unmark(root)
     nodes = _nodes(root)
     for n in nodes:

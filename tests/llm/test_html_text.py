@@ -1,3 +1,4 @@
+import math
 import re
 from html import unescape
 
@@ -72,3 +73,48 @@ def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", "c"), (1, "u", "<p>a</p>", "c"), (None, None, None, "c")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, h.extract(rows).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
     assert h.extract(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<article><p>{LONG}</p><p class='notice-period'>The notice period is thirty days.</p></article>", f"{LONG}\nThe notice period is thirty days."),
+    (f"<body><div><h2 class='section-header'>Part one</h2>{BODY}</div></body>", f"Part one\n{STORY}"),
+    ("<div id='widget'><p>Only this stands here.</p></div>", "Only this stands here."),
+    (f"<article><p>Let <math><mi>x</mi></math> be <button>a word</button>.</p><object><p>{LONG}</p></object></article>", f"Let x be a word.\n{LONG}"),
+    (f"<article>{BODY}<section><h3>Reader comments (2)</h3><p>Nice one, says a reader of this page.</p><p>Another says less.</p></section></article>", STORY),
+    (f"<article>{BODY}<div class='cookie-notice'><p>We use cookies.</p></div><div class='siteHeader'>Name</div></article>", STORY),
+    (f"<body><div>{BODY}</div><section><h2>Comments</h2><p>Nice one, says a reader.</p></section></body>", STORY),
+])
+def test_names_and_comments(html, text):
+    assert h.main_text(html) == text
+
+
+def plain_density(node, page):
+    """The composite density of a node by counting below it, from the definition."""
+    def below(n):
+        return [n, *(y for x in n.items if isinstance(x, h.Node) and not x.chrome for y in below(x))]
+
+    def chars(n):
+        return sum(len(x) - x.count(" ") - x.count("\n") for y in below(n) for x in y.items if isinstance(x, str))
+
+    def linked(n):
+        return [y for x in below(n) if x.tag == "a" for y in below(x)]
+
+    def four(n):
+        inside = list({id(y): y for y in linked(n)}.values())
+        top = [y for y in below(n) if y.tag == "a" and not any(z.tag == "a" for z in y.above() if z in below(n) and z is not n or z is n and n.tag == "a")]
+        return chars(n), max(1, len(below(n)) - 1), sum(map(chars, top)), len([y for y in inside if y is not n or n.tag == "a"])
+
+    c, t, lc, lt = four(node)
+    ratio = four(page)[2] / max(1, chars(page))
+    base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+    return c / t * math.log(max(1, c / max(1, lc) * t / max(1, lt)), base) if c else 0.0
+
+
+def test_density_by_counting():
+    page = h.parse(f"<body><div><p>{LONG}</p><p>See <a>here</a> and <a><b>there</b></a>.</p></div><ul><li><a>One</a><li><a>Two</a></ul></body>")
+    nodes = h.weigh(page)
+    assert len(nodes) == 13
+    for n in nodes:
+        assert n.density == pytest.approx(plain_density(n, page)), n.tag
+        assert n.total == pytest.approx(sum(plain_density(x, page) for x in n.items if isinstance(x, h.Node)))
+    assert max(nodes, key=lambda n: n.total).tag == "div"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import decontaminate, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
 from .common import table
@@ -17,10 +16,10 @@ TOKENIZERS = "/opt/tokenizers"
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
-def source_weights(docs: DataFrame) -> dict[str, int]:
-    """Target weights of the mixing query: 1 plus the source's number mod 4."""
-    names = [r[0] for r in docs.select(F.coalesce("source", F.lit(""))).distinct().limit(mixing.MAX_PERIOD + 1).collect()]
-    return {n: int(m[0]) % 4 + 1 if (m := re.search(r"[0-9]+$", n)) else 1 for n in names}
+def source_weights(docs: DataFrame) -> Column:
+    """Target weights of the mixing query: 1 plus the source's number mod 4; 1 for a source without a number."""
+    digits = F.regexp_extract(docs["source"], "[0-9]{1,2}$", 0)  # the last two decide
+    return F.when(digits != "", digits.cast("int") % 4 + 1).otherwise(1)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,23 @@ def test_mix(spark):
     assert m.mix(frame.limit(0), weights, size).count() == 0
     with pytest.raises(ValueError):
         m.schedule(spark, {"a": m.MAX_PERIOD, "b": 1})
+
+
+def test_long_period(spark, monkeypatch):
+    """Beyond MAX_PERIOD the heaps make the fold's jobs, and the mix is the same."""
+    weights = {f"s{k:02}": k % 5 + 1 for k in range(30)}
+    table = spark.createDataFrame(list(weights.items()), "source string, weight int")
+    rows = m.long_schedule(table, sum(weights.values()))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, m.schedule(spark, weights).select(rows.columns).collect()))
+    docs = spark.createDataFrame([(k, "x" * (k % 50), f"s{k % 30:02}") for k in range(900)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, m.mix(docs, weights, 40).collect()))
+    monkeypatch.setattr(m, "MAX_PERIOD", 10)
+    assert sorted(map(tuple, m.mix(docs, weights, 40).collect())) == want
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x", "a", 5, 6), (2, "y", "b", 7, 8)], "doc_id long, text string, source string, mix_slot int, mix_block int")
+    got = m.mixed(docs, {"a": 1, "b": 2}, 10)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    with pytest.raises(ValueError):
+        m.mix(docs, {}, 10)

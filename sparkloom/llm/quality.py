@@ -1,6 +1,7 @@
 """Document quality by attention-based multiple-instance learning, in numpy.
 
-A document is a bag of passages. Every passage is encoded, a gated attention learned from the documents' labels weighs
+A document is a bag of passages. Every passage is encoded from the words and letter sequences that it has (hashed, with an embedding of
+each bucket learned) and from its byte classes and repetitions; a gated attention learned from the documents' labels weighs
 the encodings, and the weighted sum of them is scored.
 """
 
@@ -20,17 +21,47 @@ PASSAGE_WORDS = 64
 HIDDEN, ATTENTION = 16, 8
 #: Labelled documents of each class that are learned from at most.
 PER_CLASS = 3000
-EPOCHS = 40
+EPOCHS = 24
+#: Buckets of words, and as many of byte sequences of three.
+BUCKETS = 128
+#: Passages whose inputs are made or scored at once, about.
+LOT_CHARS, LOT_ROWS = 1_000_000, 4096
 
 #: Byte classes whose shares describe a passage.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"|/\\_~^<>=+", b"#$%&*@", b"\"'()[]{}-")
-INPUTS = len(CLASSES) + 9
-
-
-def passages(text: str) -> np.ndarray:
-    """A row of inputs for each run of PASSAGE_WORDS words of the whole text; one row for a text without words."""
+SHAPES = len(CLASSES) + 9
+INPUTS = SHAPES + 2 * BUCKETS
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def lexical(data: list[bytes]) -> np.ndarray:
+    """Square roots of the shares of each bucket of words and of byte sequences, for passages of words parted by one blank."""
+    n = len(data)
+    code = np.frombuffer(b" ".join(data) + b"   ", np.uint8)
+    owner = np.append(np.repeat(np.arange(n), [len(x) + 1 for x in data]), [n - 1, n - 1])
+    word = code != 32
+    start = np.flatnonzero(word & np.append(True, ~word[:-1]))
+    wide = code.astype(np.uint64)
+    out = np.zeros((n, 2 * BUCKETS), np.float32)
+    if len(start):
+        end = np.flatnonzero(word & np.append(~word[1:], True)) + 1
+        place = np.arange(len(code)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(code)]])))
+        power = np.cumprod(np.full(64, PRIME, np.uint64))
+        terms = np.where(word, (wide + np.uint64(1)) * power[place & 63], np.uint64(0))
+        spelled = np.add.reduceat(terms, start) * PRIME + (end - start).astype(np.uint64)
+        three = (wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)) * PRIME
+        inside = word[1:-1] & (owner[:-2] == owner[2:])  # any three bytes of a passage around one of a word
+        for k, (own, hashed) in enumerate(((owner[start], spelled), (owner[:-2][inside], three[inside]))):
+            bucket = (hashed * PRIME >> np.uint64(57)).astype(np.int64)
+            counts = np.bincount(own * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+            out[:, k * BUCKETS : (k + 1) * BUCKETS] = np.sqrt(counts / np.maximum(1, counts.sum(1))[:, None])
+    return out
+
+
+def passages(text: str) -> tuple[list[tuple], list[bytes]]:
+    """Shape inputs and words of each run of PASSAGE_WORDS words of the whole text; one passage for a text without words."""
     words = text.split()
-    rows = []
+    rows, said = [], []
     for at in range(0, max(1, len(words)), PASSAGE_WORDS):
         own = words[at : at + PASSAGE_WORDS]
         data = "".join(own).encode("utf-8", "surrogatepass")
@@ -42,14 +73,32 @@ def passages(text: str) -> np.ndarray:
             *shares, 1 - sum(shares), n / PASSAGE_WORDS, len(set(own)) / many, sum(map(eq, own, own[1:])) / many, most / many,
             size / many / 8, sum(w[:1].isupper() for w in own) / many, sum(not w.isalpha() for w in own) / many, max(map(len, own), default=0) / 32,
         ))
-    return np.minimum(np.array(rows, np.float32), 8)
+        said.append(" ".join(own).lower().encode("utf-8", "surrogatepass"))
+    return rows, said
 
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Passages of all texts, and where each text's begin."""
-    each = [passages(t) for t in texts]
-    size = np.array([len(x) for x in each])
-    return np.concatenate(each), np.cumsum(size) - size
+    """Inputs of the passages of all texts, and where each text's begin."""
+    shapes, said, sizes, out = [], [], [], []
+
+    def made() -> None:
+        out.append(np.concatenate([np.minimum(np.array(shapes, np.float32), 8), lexical(said)], 1))
+        shapes.clear(), said.clear()
+
+    held = 0
+    for text in texts:
+        rows, words = passages(text)
+        shapes += rows
+        said += words
+        sizes.append(len(rows))
+        held += len(text)
+        if held >= LOT_CHARS:
+            made()
+            held = 0
+    if said:
+        made()
+    size = np.array(sizes, np.int64)
+    return np.concatenate(out), np.cumsum(size) - size
 
 
 class Model:
@@ -77,7 +126,16 @@ class Model:
                 logits = self.logits(x[rows], first, keep)
                 g = (weight[pick] * (sigmoid(logits) - y[pick]) / len(pick)).astype(np.float32)
                 adam.step(self._backward(keep, first, g), 1e-4)
-        self.slope, self.offset = platt(self.logits(x, start), y, self.rate if prior is None else prior)
+        self.slope, self.offset = platt(self._all(x, start), y, self.rate if prior is None else prior)
+
+    def _all(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """logits() of many bags, some of them at a time."""
+        ends, out, at = np.append(start[1:], len(x)), [], 0
+        while at < len(start):
+            until = max(at + 1, int(np.searchsorted(ends, start[at] + LOT_ROWS, "right")))
+            out.append(self.logits(x[start[at] : ends[until - 1]], start[at:until] - start[at]))
+            at = until
+        return np.concatenate(out)
 
     def logits(self, x: np.ndarray, start: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logit of each bag."""
@@ -110,10 +168,10 @@ class Model:
         out, at = np.zeros(len(texts)), 0
         while at < len(texts):
             until, size = at, 0
-            while until < len(texts) and size < 2_000_000:
+            while until < len(texts) and size < LOT_CHARS:
                 size += len(texts[until])
                 until += 1
-            out[at:until] = sigmoid(self.slope * self.logits(*bags(texts[at:until])).astype(float) + self.offset)
+            out[at:until] = sigmoid(self.slope * self._all(*bags(texts[at:until])).astype(float) + self.offset)
             at = until
         return out
 

@@ -32,3 +32,36 @@ def test_held_out(spark):
     model = q.fit(docs, labels)
     assert all(0 <= r.quality <= 1 for r in q.quality(bad, model).collect())
     assert q.quality(bad.limit(0), model).count() == 0
+
+
+def test_lexical_by_counting():
+    """Buckets of words, one passage and one word at a time, and byte sequences that do not depend on the passages beside."""
+    said = [b"", b"the cat the", b"", "é x".encode(), b"a"]
+    got = q.lexical(said)
+    prime, top = int(q.PRIME), 1 << 64
+
+    def bucket(h):
+        return (h * prime % top) >> 57
+
+    for row, data in zip(got, said):
+        words = np.zeros(q.BUCKETS)
+        for w in data.split():
+            words[bucket((sum((c + 1) * pow(prime, k + 1, top) for k, c in enumerate(w)) * prime + len(w)) % top)] += 1
+        assert np.allclose(row[q.BUCKETS :], q.lexical([b"zz", data, b"zz"])[1][q.BUCKETS :])
+        assert row[: q.BUCKETS] == pytest.approx(np.sqrt(words / max(1, words.sum())), abs=1e-6)
+
+
+def test_plain_scores():
+    """The score of each document by a loop over its passages."""
+    texts = ["A fine text of words.", "BAD!! BAD!! BAD!!", "word " * 200 + "END"] * 4
+    m = q.Model(texts, np.array([1, 0, 1] * 4, np.float32))
+    for text, score in zip(texts[:3], m.score(texts[:3])):
+        x, _ = q.bags([text])
+        hs, es = [], []
+        for row in (x - m.shift) / m.scale:
+            h = np.tanh(row @ m.p["W"] + m.p["c"])
+            hs.append(h)
+            es.append(float((np.tanh(h @ m.p["V"]) / (1 + np.exp(-(h @ m.p["U"])))) @ m.p["a"]))
+        share = np.exp(es) / np.exp(es).sum()
+        logit = sum(s * h for s, h in zip(share, hs)) @ m.p["w"] + m.p["b"][0]
+        assert score == pytest.approx(1 / (1 + np.exp(-(m.slope * logit + m.offset))), rel=1e-4)

@@ -17,7 +17,7 @@ from .common import materialize
 
 #: Rows that centroids and codebooks are fitted on at most.
 SAMPLE = 20_000
-LISTS = 256
+LISTS = 256  # or the square root of the number of rows, if that is more
 #: Share of the lists that a query probes. Vectors without structure need this much for a recall of 0.9.
 PROBED = 0.75
 SUBSPACES = 16
@@ -89,8 +89,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS, p
     """Each query's k nearest of all other rows: query_id, rank, vec_id, score (Euclidean, double precision).
 
     ``is_query`` is a condition on the column vec_id. Null ids, vectors that are null, zero or hold null or non-finite components, and vectors of
-    another than the commonest length take no part; ids that repeat count once. Equal scores order by vec_id; a query with
-    fewer candidates in its lists gets fewer rows. No rows, no result. Other columns are ignored.
+    another than the commonest length take no part; ids that repeat count once. Equal scores order by vec_id. A query whose lists
+    hold fewer than k candidates searches all lists, so only a lack of candidates gives it fewer rows. No rows, no result. Other columns are ignored.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -100,7 +100,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS, p
         return spark.createDataFrame([], schema)
     vectors = vectors.where(F.size("embedding") == lengths["n"])
     few = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    index = spark.sparkContext.broadcast(Index(np.stack(few.embedding), lists))  # lists centroids and 256 codes a subspace
+    n = vectors.count()
+    index = spark.sparkContext.broadcast(Index(np.stack(few.embedding), max(lists, int(n**0.5))))  # lists centroids and 256 codes a subspace
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,18 +116,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS, p
     of_list = F.element_at(F.create_map(*(F.lit(x) for item in chunks.items() for x in item)), F.col("list"))
     left = filed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), of_list)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack(b.embedding)
-            wanted = index.value.probes(x, probed)
-            at = np.repeat(np.arange(len(b)), wanted.shape[1])
-            bytes_ = np.array([v.tobytes() for v in x], object)
-            yield pd.DataFrame({"list": wanted.ravel(), "query_id": b.vec_id.to_numpy()[at], "query": bytes_[at]})
-
-    right = vectors.where(is_query).mapInPandas(probe, "list int, query_id long, query binary")
-    right = right.where(F.col("list").isin(list(chunks))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), of_list.cast("long") - 1)))
-    right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-
     def meet(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(held) and len(asked):
@@ -158,7 +147,30 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS, p
                 out["score"] += d[best].tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["list", "chunk", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def nearest(asked: DataFrame, share: float) -> DataFrame:
+        """Each query's k nearest in its share of the lists."""
+
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = np.stack(b.embedding)
+                wanted = index.value.probes(x, share)
+                at = np.repeat(np.arange(len(b)), wanted.shape[1])
+                bytes_ = np.array([v.tobytes() for v in x], object)
+                yield pd.DataFrame({"list": wanted.ravel(), "query_id": b.vec_id.to_numpy()[at], "query": bytes_[at]})
+
+        right = asked.mapInPandas(probe, "list int, query_id long, query binary")
+        right = right.where(F.col("list").isin(list(chunks))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), of_list.cast("long") - 1)))
+        right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        keys = ["list", "chunk", "block"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = vectors.where(is_query)
+    first = materialize(nearest(asked, probed))
+    full = first.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
+    short = materialize(asked.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return first
+    rest = nearest(short, 1.0)
+    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)

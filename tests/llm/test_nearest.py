@@ -54,3 +54,12 @@ def test_edges(spark):
     got = [tuple(r) for r in nearest.search(frame, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, np.sqrt(5.0))]
     assert nearest.search(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_full_results(spark):
+    """A query whose probed lists are short goes on to the others."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(200, 4)), 50 * rng.normal(size=(60, 4))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.search(frame, F.col("vec_id") >= 200, k=150, probed=0.0).groupBy("query_id").count().collect()
+    assert len(got) == 60 and {r["count"] for r in got} == {150}

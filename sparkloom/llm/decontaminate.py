@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: What lies between words, before and after A-Z became a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,21 +34,26 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _at(tokens: Column, length: int) -> Column:
-    """(len, hash) of the window of that length at every position of tokens."""
-    last = F.size(tokens) - F.lit(length - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.lit(length), F.slice(tokens, i, F.lit(length))))).otherwise(F.array().cast("array<long>"))
+def _hash(words_: Column, length: int | Column) -> Column:
+    """The hash of a window from the hashes of its words."""
+    return F.xxhash64(F.lit(length) if isinstance(length, int) else length, words_)
+
+
+def _at(hashes: Column, length: int) -> Column:
+    """The hash of the window of that length at every position, from the words' hashes."""
+    last = F.size(hashes) - F.lit(length - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: _hash(F.slice(hashes, i, F.lit(length)), length))).otherwise(F.array().cast("array<long>"))
 
 
 def windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the items: len, hash, window and the sorted ids of the items that hold it.
+    """Distinct windows of each item: item, len, window and hash.
 
     An item of fewer than n words, but not none, is one window. Items without an id or words have none.
     """
     rows = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.col("item").isNotNull() & (F.size("w") > 0))
     cut = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.slice(w, i, k))
-    rows = rows.select("item", F.explode(_let(F.col("w"), lambda w: cut(w, F.least(F.size(w), F.lit(n))))).alias("window")).withColumn("len", F.size("window"))
-    return rows.groupBy("len", "window").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("hash", F.xxhash64("len", "window"))
+    rows = rows.select("item", F.explode(_let(F.col("w"), lambda w: cut(w, F.least(F.size(w), F.lit(n))))).alias("window")).distinct()
+    return rows.select("item", F.size("window").alias("len"), "window", _hash(F.transform("window", lambda x: F.xxhash64(x)), F.size("window")).alias("hash"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,33 +63,38 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     A row of a repeated id stands for itself unless its text repeats too. Null ids are kept. Without items
     nothing is contaminated; without documents the result is empty. Further columns of docs are ignored.
     """
-    grams = windows(items, n)
+    held = materialize(windows(items, n))
+    grams = held.select("len", "hash", "window").distinct()
     size = grams.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("window", " "))).alias("bytes"), F.collect_set("len").alias("lens")).first()
+    # what is broadcast are distinct windows alone: the items of a window, however many, join the hits later
     fits = (size["bytes"] or 0) + 64 * size["rows"] <= BROADCAST_BYTES
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
-    hits = None
-    for length in sorted(size["lens"]):
-        # the window hashes are made in one projection; the exploded rows only pass by the hash set
-        at = rows.select(*key, _let(words(F.col("text")), lambda w: F.struct(w.alias("w"), _at(w, length).alias("hashes"))).alias("x"))
-        at = at.select("doc_id", "text_key", F.col("x.w").alias("w"), F.posexplode("x.hashes").alias("pos", "hash"))
-        set_ = grams.where(F.col("len") == length).select("hash", "window", "items")
-        window = F.slice("w", F.col("pos") + 1, F.lit(length))
-        if fits:
-            found = at.join(F.broadcast(set_), "hash").where(window == F.col("window"))
-        else:  # what shuffles is each window's own words, not its text's
-            found = at.select("doc_id", "text_key", "pos", "hash", window.alias("window")).join(set_, ["hash", "window"])
-        found = found.select("doc_id", "text_key", F.struct((F.col("pos") + 1).alias("first"), (F.col("pos") + 1 + length).alias("until")).alias("span"), "items")
-        hits = found if hits is None else hits.unionByName(found)
     total = rows.select(*key, n_words(F.col("text")).alias("n_words"))
-    none = F.array().cast("array<struct<first:int,until:int>>")
-    if hits is None:
-        out = total.select("doc_id", "n_words", none.alias("spans"), F.array().cast("array<string>").alias("ids"))
+    no_spans, no_ids = F.array().cast("array<struct<first:int,until:int>>"), F.array().cast("array<string>")
+    if not size["rows"]:
+        out = total.select("doc_id", "n_words", no_spans.alias("spans"), no_ids.alias("ids"))
     else:
-        per = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
-        per = per.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.aggregate("found", none, _merge).alias("spans"), "ids")
+        # one pass for windows of all lengths; their hashes are made in one projection, and the exploded rows only pass by the hash set
+        of = lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.array(*(F.struct(F.lit(k).alias("len"), _at(h, k).alias("hashes")) for k in sorted(size["lens"]))))
+        at = rows.select(*key, _let(words(F.col("text")), lambda w: F.struct(w.alias("w"), of(w).alias("of"))).alias("x"))
+        at = at.select("doc_id", "text_key", F.col("x.w").alias("w"), F.explode("x.of").alias("of"))
+        at = at.select("doc_id", "text_key", "w", F.col("of.len").alias("len"), F.posexplode("of.hashes").alias("pos", "hash"))
+        window = F.slice("w", F.col("pos") + 1, F.col("len"))
+        if fits:
+            found = at.join(F.broadcast(grams.drop("len")), "hash").where(window == F.col("window"))
+        else:  # what shuffles is each window's own words, not its text's
+            found = at.select("doc_id", "text_key", "pos", "len", "hash", window.alias("window")).join(grams.drop("len"), ["hash", "window"])
+        span = F.struct((F.col("pos") + 1).alias("first"), (F.col("pos") + 1 + F.col("len")).alias("until"))
+        hits = materialize(found.select("doc_id", "text_key", span.alias("span"), "hash", "window"))
+        where = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("found"))
+        what = hits.select("doc_id", "text_key", "hash", "window").distinct().join(held.drop("len"), ["hash", "window"]).select("doc_id", "text_key", "item").distinct()
+        what = what.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item")).alias("ids"))
+        what = what.select(F.col("doc_id").alias("what_id"), F.col("text_key").alias("what_key"), "ids")
+        per = where.join(what, F.col("doc_id").eqNullSafe(F.col("what_id")) & (F.col("text_key") == F.col("what_key")))
+        per = per.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.aggregate("found", no_spans, _merge).alias("spans"), "ids")
         out = total.join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
-        out = out.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+        out = out.select("doc_id", "n_words", F.coalesce("spans", no_spans).alias("spans"), F.coalesce("ids", no_ids).alias("ids"))
     n_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["until"] - s["first"]).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
 

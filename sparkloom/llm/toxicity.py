@@ -205,9 +205,8 @@ class Model:
         self.network = None
         if not 0 < self.rate < 1:
             return
-        docs = [words(t) for t in texts]
         place: dict[str, int] = {}
-        own = [np.array([place.setdefault(w, len(place)) for w in ws], np.int32) for ws in docs]
+        own = [np.array([place.setdefault(w, len(place)) for w in words(t)], np.int32) for t in texts]
         if not place:
             return
         spelling = Spelling(list(place))
@@ -221,7 +220,7 @@ class Model:
         owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
         rows = np.concatenate([c for c in cuts if len(c)])
         # of each text its likeliest window trains: at first that of most evidence, then the one the network itself puts first
-        score = inputs[rows][:, :, :2].max(2).max(1)
+        score = np.append(inputs[:, :2].max(1)[:-1], -np.inf)[rows].max(1)
         adam, rng, weight = Adam(self.network.p, 0.01), np.random.default_rng(3), balance(y)
         clean = np.flatnonzero(y[owner] == 0)
         for epoch in range(EPOCHS):

@@ -54,3 +54,38 @@ def test_edges(spark, frames):
     assert t.toxicity(rows.limit(0), model).count() == 0
     assert t.Model([], np.zeros(0)).network is None
     assert {r.score for r in t.scored(rows.drop("score"), labels.limit(0)).collect()} == {0.0}
+
+
+def test_plain_scores():
+    """The score of a text by one step of the network a word, window by window."""
+    texts = ["you idiot " * 3, "fine day " * 40, "an idiot here", "fine words"] * 5
+    m = t.Model(texts, np.array([1, 0, 1, 0] * 5, np.float32))
+    p = m.network.p
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for text in texts[:4]:
+        own = t.words(text)
+        inputs, best = t.features(own, m.ratios), -np.inf
+        for at in t.cut(len(own)):
+            seen = inputs[at : at + t.WINDOW]
+            both = []
+            for d, order in (("f", range(len(seen))), ("b", range(len(seen) - 1, -1, -1))):
+                h, states = np.zeros(t.HIDDEN), {}
+                for k in order:
+                    x, u = seen[k] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                    z, r = sigmoid(x[: t.HIDDEN] + u[: t.HIDDEN]), sigmoid(x[t.HIDDEN : 2 * t.HIDDEN] + u[t.HIDDEN : 2 * t.HIDDEN])
+                    n = np.tanh(x[2 * t.HIDDEN :] + r * u[2 * t.HIDDEN :])
+                    h = states[k] = n + z * (h - n)
+                both.append(states)
+            hs = [np.concatenate([both[0][k], both[1][k]]) for k in range(len(seen))]
+            e = np.exp([np.tanh(h @ p["Wa"]) @ p["va"] for h in hs])
+            best = max(best, sum(w * h for w, h in zip(e / e.sum(), hs)) @ p["w"] + p["b"][0])
+        assert t.Scorer(m).score([text])[0] == pytest.approx(sigmoid(m.slope * best + m.offset), rel=1e-3)
+
+
+def test_no_column_is_overwritten(spark):
+    model = t.Model(["you idiot", "fine day"] * 5, np.array([1, 0] * 5, np.float32))
+    docs = spark.createDataFrame([(1, "fine day", 0.25, "a"), (2, "you idiot", 0.5, "b")], "doc_id long, text string, toxicity double, __toxicity string")
+    with pytest.raises(ValueError):
+        t.toxicity(docs, model)
+    kept = t.remove(docs, model)
+    assert kept.columns == docs.columns and (1, "fine day", 0.25, "a") in set(map(tuple, kept.collect()))

@@ -27,7 +27,9 @@ from .components import components
 
 N = 5
 #: Texts hashed together, in bytes: what a task holds at once besides its batch.
-LOT = 4 << 20
+LOT = 2 << 20
+#: N-gram hashes of a part of the hash space, on average, at most.
+PART_GRAMS = 2_000_000
 #: Members and n-grams of a chunk at most, on average.
 CHUNK, CHUNK_GRAMS = 1000, 2_000_000
 #: Ids of open documents that are broadcast at most (64 MB).
@@ -114,7 +116,9 @@ def sizes(rows: DataFrame) -> DataFrame:
     A lot of texts sends each n-gram hash of one half of the hash space once; hashes that two of its texts share are marked
     and need no answer. The answers are, for each text of the lot, how many hashes no one else has.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a part's hashes are held at once, so parts are as many as the texts call for: half of a word's n-gram for about 6 bytes
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (12 * PART_GRAMS)))
     shared = np.uint16(65535)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +165,7 @@ def sizes(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": np.frombuffer(head.ids, "<i8"), "n_shingles": n, "alone": (n == 0) | (single > allowed(n))})
 
     sent = rows.mapInPandas(send, "part int, lot long, grams binary, own binary, ids binary, n binary")
-    back = sent.groupBy("part").applyInPandas(answer, "lot long, single binary, ids binary, n binary")
+    back = sent.repartition(parts, "part").groupBy("part").applyInPandas(answer, "lot long, single binary, ids binary, n binary")
     return back.groupBy("lot").applyInPandas(total, "doc_id long, n_shingles long, alone boolean")
 
 

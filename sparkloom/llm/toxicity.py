@@ -224,7 +224,9 @@ class Model:
         adam, rng, weight = Adam(self.network.p, 0.01), np.random.default_rng(3), balance(y)
         clean = np.flatnonzero(y[owner] == 0)
         for epoch in range(EPOCHS):
-            chosen = _best(owner, score if epoch == 0 else self._logits(inputs, rows))
+            if epoch == 0 or epoch % 2:  # a choice serves two epochs, the first one one
+                best = _best(owner, score if epoch == 0 else self._logits(inputs, rows))
+            chosen = best.copy()
             if epoch:  # of clean texts another window too, so that no window of them is far from clean
                 chosen = np.concatenate([chosen, rng.choice(clean, min(len(clean), len(chosen)), replace=False)])
             rng.shuffle(chosen)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 DIMENSIONS = 768
@@ -31,3 +34,27 @@ def truncate(v: Column, n: int) -> Column:
     """The first n components made a unit vector again."""
     cut = F.slice(v, 1, n)
     return F.transform(cut, lambda x: F.when(norm(cut) > 0, x / norm(cut)).otherwise(x))
+
+
+def hashed_words(words: list[str], memo: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and signs of words as slot_and_sign() has them; memo keeps those seen."""
+    out = []
+    for w in words:
+        if (own := memo.get(w)) is None:
+            h = 2166136261
+            for c in w:
+                h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+            own = memo[w] = (abs(h - (h >> 31 << 32)) % DIMENSIONS, 1 - 2 * (h & 1))
+        out.append(own)
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def matrix(texts: Iterable[list[str]], memo: dict[str, tuple[int, int]]) -> np.ndarray:
+    """A hashed unit vector a row (zeros where no component is left) from each text's words."""
+    rows = [hashed_words(list(t), memo) for t in texts]
+    out = np.zeros((len(rows), DIMENSIONS))
+    for row, (slots, signs) in zip(out, rows):
+        np.add.at(row, slots, signs)
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)

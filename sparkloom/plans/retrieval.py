@@ -1,11 +1,15 @@
 """Ingest, index and retrieval: pages to text, documents to chunks, questions to ranked chunks.
 
 Questions are the benchmark's texts and a document's title is its first line. All questions are answered by one plan: questions and chunks
-meet on terms and on embedding slots, never pair by pair.
+meet on terms; a stated block of questions is scored against the vectors of all chunks, task by task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as x, vectors as v
@@ -18,6 +22,8 @@ R = Registry()
 LEGS = (40, 40, 30)
 HITS = 6
 GATE = 0.30
+#: Questions whose vectors (6 KB each) go to every task.
+BLOCK = 4096
 
 
 @R.add(r"""
@@ -190,6 +196,43 @@ def scaled(value: Column, digits: int) -> Column:
     return F.floor(value * 10**digits + 0.001).cast("long")
 
 
+def vector_leg(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """item_id, doc_id, position and score of each question's LEGS[0] nearest chunks at least, of those that share a component with it.
+
+    A block of questions goes to every task, which multiplies its chunks' vectors with theirs and keeps the best of each batch:
+    neither chunks nor pairs are shuffled. More than BLOCK questions meet the chunks on their slots instead.
+    """
+    few = asked.select("item_id", x.tokens(F.col("text"), 2).alias("words")).limit(BLOCK + 1).collect()
+    if len(few) > BLOCK:
+        a, b = embedded(asked, ["item_id"], F.col("text")).withColumnRenamed("weight", "wa"), embedded(chunks, KEYS, F.col("content"))
+        return b.join(a, "slot").groupBy("item_id", *KEYS).agg(F.round(F.sum(F.col("wa") * F.col("weight")), 6).alias("score"))
+    questions = v.matrix([r.words or [] for r in few], {})
+    block = chunks.sparkSession.sparkContext.broadcast(([r.item_id for r in few], questions, (questions != 0).astype(np.float32)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, near, has = block.value
+        memo: dict[str, tuple[int, int]] = {}
+        # at most BLOCK x 2048 scores at a time
+        for batch in (b.iloc[at : at + 2048] for b in batches for at in range(0, len(b), 2048)):
+            held = v.matrix(batch.words, memo)
+            score, shared = np.round(near @ held.T, 6), has @ (held != 0).T.astype(np.float32) > 0
+            docs, places = batch.doc_id.to_numpy(), batch.position.to_numpy()
+            order = np.lexsort((places, docs))  # ties go to the smaller keys
+            out = []
+            for k, item in enumerate(items):
+                own = order[shared[k, order]]
+                best = own[np.argsort(-score[k, own], kind="stable")[: LEGS[0]]]
+                out.append(pd.DataFrame({"item_id": item, "doc_id": docs[best], "position": places[best], "score": score[k, best] + 0.0}))
+            if len(memo) > 1_000_000:
+                memo.clear()
+            if out:
+                yield pd.concat(out)
+
+    types = dict(asked.select("item_id").dtypes + chunks.select(*KEYS).dtypes)
+    rows = chunks.select(*KEYS, x.tokens(F.col("content"), 2).alias("words"))
+    return rows.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in ("item_id", *KEYS)) + ", score double")
+
+
 def legs(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Questions with their terms, and item_id, doc_id, position, leg, score, place of the three ranked lists."""
     asked = questions.select("item_id", x.query_terms(F.col("text")).alias("terms"), "text")
@@ -203,9 +246,7 @@ def legs(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]
     rank = F.round(F.col("m") + 0.4 * F.col("n") + F.when(F.col("position") == 0, 0.08).otherwise(0.0) - F.when(F.col("noise"), 2.0).otherwise(0.0), 6)
     keyword = hits.select("item_id", *KEYS, F.lit("keyword").alias("leg"), rank.alias("score"))
     title = hits.where("position = 0 AND m > 0").select("item_id", *KEYS, F.lit("title").alias("leg"), F.col("m").cast("double").alias("score"))
-    a = embedded(asked, ["item_id"], F.col("text")).withColumnRenamed("weight", "wa")
-    b = embedded(chunks, KEYS, F.col("content"))
-    near = b.join(a, "slot").groupBy("item_id", *KEYS).agg(F.round(F.sum(F.col("wa") * F.col("weight")), 6).alias("score")).select("item_id", *KEYS, F.lit("vector").alias("leg"), "score")
+    near = vector_leg(asked, chunks).select("item_id", *KEYS, F.lit("vector").alias("leg"), "score")
     w = Window.partitionBy("item_id", "leg").orderBy(F.desc("score"), *KEYS)
     ranked = near.unionByName(keyword).unionByName(title).withColumn("place", F.row_number().over(w))
     limit = F.when(F.col("leg") == "vector", LEGS[0]).when(F.col("leg") == "keyword", LEGS[1]).otherwise(LEGS[2])
@@ -261,19 +302,25 @@ h3 AS (SELECT *, CAST(floor(1000000 * (vec * 0.45 + greatest(-1.0, least(kw, 1.0
 ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank_score DESC, rrf DESC, doc_id, position) AS place FROM h3)"""
 
 
+def _stored(t: Tables) -> DataFrame:
+    """The chunks of all documents, folded once: the legs and the hits read them from the shared checkpoint folder, where there is one."""
+    chunks = chunked(t("documents"))
+    return chunks.checkpoint() if chunks.sparkSession.conf.get("spark.checkpoint.dir", None) else chunks
+
+
 def _found(t: Tables, limit: int = HITS) -> DataFrame:
-    return retrieve(t("benchmark"), chunked(t("documents")), limit)
+    return retrieve(t("benchmark"), _stored(t), limit)
 
 
 @R.add(f"WITH {LEG_SQL} SELECT item_id, doc_id, CAST(position AS BIGINT) AS position, leg, CAST(floor(score * 10000 + 0.001) AS BIGINT) AS score, CAST(place AS BIGINT) AS place FROM ranked")
 def ranked_legs(t: Tables) -> DataFrame:
-    rows = legs(t("benchmark"), chunked(t("documents")))[1]
+    rows = legs(t("benchmark"), _stored(t))[1]
     return rows.select("item_id", "doc_id", F.col("position").cast("long").alias("position"), "leg", scaled(F.col("score"), 4).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @R.add(f"WITH {LEG_SQL} SELECT item_id, doc_id, CAST(position AS BIGINT) AS position, CAST(floor(vec * 10000 + 0.001) AS BIGINT) AS vec, CAST(floor(kw * 10000 + 0.001) AS BIGINT) AS kw, CAST(floor(rrf * 1000000 + 0.001) AS BIGINT) AS rrf FROM fused")
 def rrf_fusion(t: Tables) -> DataFrame:
-    rows = fused(legs(t("benchmark"), chunked(t("documents")))[1])
+    rows = fused(legs(t("benchmark"), _stored(t))[1])
     return rows.select("item_id", "doc_id", F.col("position").cast("long").alias("position"), scaled(F.col("vec"), 4).alias("vec"), scaled(F.col("kw"), 4).alias("kw"), scaled(F.col("rrf"), 6).alias("rrf"))
 
 

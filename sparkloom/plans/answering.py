@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import answer as a, text as x, web
-from .conversations import TOKENS
+from ..operators import answers
+from ..streaming import events
+from .conversations import TOKENS, _any, _rlike
 from .registry import Registry, Tables
 
 R = Registry()
@@ -171,3 +173,56 @@ def clock_labels(t: Tables) -> DataFrame:
     rows = t("customer").select("c_custkey", (F.col("c_custkey") * 7919 % 1600).alias("m"), F.concat(F.lit("100%_"), "c_name").alias("q"))
     clock = web.clock(F.col("m"))
     return rows.select("c_custkey", clock.alias("clock"), web.minutes(clock).alias("minutes"), web.like_pattern(F.col("q")).alias("pattern"))
+
+
+#: Questions, one of each kind, over the pages as their hits: twenty pages a question, two of one document.
+_KINDS = ["'List all pages please'", "'Anything similar to ' || text", "'Please show me three projects on ' || text", "'give me 9 articles on ' || text", "'Tell me of this: ' || text"]
+_PAGE_TITLE = "CASE page_id % 6 WHEN 1 THEN 'All projects' WHEN 4 THEN 'Archives of ' || page_id ELSE 'Page ' || page_id END"
+_PAGE_TEXT = "CASE page_id % 3 WHEN 0 THEN 'id: 7' || chr(10) || '_smart_summary: About  page ' || page_id || '. More here.' WHEN 1 THEN '' ELSE 'No stop title: in ' || url END"
+_WANTED = f"""CASE WHEN regexp_matches(question, '(?i){a.LIST_OF}') THEN coalesce(CAST(nullif(regexp_extract(question, '(?i){a.LIST_NUMBER}', 1), '') AS INT),
+  CASE lower(regexp_extract(question, '(?i){a.LIST_WORD}', 1)) {' '.join(f"WHEN '{w}' THEN {n}" for w, n in a.LIST_WORDS.items())} END) END"""
+_HITS = rf"""q AS (SELECT item_id * {len(_KINDS)} + k AS item_id, item_id AS held, CASE k {' '.join(f'WHEN {k} THEN {q}' for k, q in enumerate(_KINDS))} END AS question FROM benchmark, (SELECT unnest(range({len(_KINDS)})) AS k)),
+h0 AS (SELECT item_id, question, page_id % 20 + 1 AS place, page_id // 2 AS doc_id, {_PAGE_TITLE} AS title, nullif(url, CASE WHEN page_id % 7 = 0 THEN url END) AS url, (held + item_id) % 3 / 4.0 AS title_score, {_PAGE_TEXT} AS content, page_id,
+  list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda z: z <> '') AS seg FROM q JOIN pages ON page_id // 20 = held),
+hits AS (SELECT *, {_SPEC} - CASE WHEN regexp_matches(title, '(?i){a.GENERIC_TITLE}') THEN 4 ELSE 0 END AS spec, {_WANTED} AS wanted FROM h0)"""
+
+
+def _page_hits(t: Tables) -> DataFrame:
+    n = len(_KINDS)
+    q = t("benchmark").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    question = F.expr("CASE k " + " ".join(f"WHEN {k} THEN {kind}" for k, kind in enumerate(_KINDS)) + " END")
+    q = q.select((F.col("item_id") * n + F.col("k")).alias("item_id"), F.col("item_id").alias("held"), question.alias("question"))
+    page = t("pages").select(
+        F.expr("page_id div 20").alias("held"), (F.col("page_id") % 20 + 1).alias("place"), F.expr("page_id div 2").alias("doc_id"), F.expr(_PAGE_TITLE).alias("title"),
+        F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"), F.expr(_PAGE_TEXT).alias("content"), "page_id",
+    )
+    return q.join(page, "held").withColumn("title_score", (F.col("held") + F.col("item_id")) % 3 / 4.0)
+
+
+@R.add(rf"""
+WITH {_HITS}, b AS (SELECT item_id, arg_min(doc_id, place) AS best, arg_min(title_score, place) AS score FROM hits GROUP BY ALL),
+m AS (SELECT h.*, best, CASE WHEN {_any('question', x.OVERVIEW)} THEN 'overview' WHEN {_rlike('question', x.RELATED)} OR wanted IS NOT NULL THEN 'several' WHEN score >= 0.5 THEN 'one' ELSE 'first' END AS mode FROM hits h JOIN b USING (item_id)),
+f AS (SELECT *, mode <> 'several' OR url IS NULL OR spec > 0 AS fits FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id, fits ORDER BY place) AS nth FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS again FROM n WHERE CASE mode WHEN 'one' THEN doc_id = best WHEN 'first' THEN TRUE ELSE fits AND nth = 1 END)
+SELECT item_id, CAST(again AS BIGINT) AS place, page_id FROM k WHERE again <= CASE mode WHEN 'overview' THEN 14 ELSE 5 END
+""")
+def evidence_selection(t: Tables) -> DataFrame:
+    return answers.coherent(_page_hits(t)).select("item_id", "place", "page_id")
+
+
+@R.add(rf"""
+WITH {_HITS}, w AS (SELECT * FROM hits WHERE wanted IS NOT NULL AND url <> '' AND spec > 0),
+d AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY place) AS nth FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS k FROM d WHERE nth = 1),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(content, '\r?\n'), lambda z: NOT regexp_matches(z, '(?i){a.FRONT_LINE}')), ' '), '(?i){a.SUMMARY}', ''), '\s+', ' ', 'g')) AS body FROM k WHERE k <= wanted),
+s AS (SELECT *, substr(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(body, '[^.!?]+[.!?]+|[^.!?]+$'), ''), body), '(?i){a.FRONT_NAME}', ' ', 'g'), '\s+', ' ', 'g')), 1, {a.DESCRIPTION}) AS about FROM c),
+g AS (SELECT item_id, wanted, count(*) AS n, string_agg('- [' || title || '](' || url || ')' || CASE WHEN about <> '' THEN ' — ' || about ELSE '' END, chr(10) ORDER BY k) AS lines FROM s GROUP BY ALL)
+SELECT item_id, CASE WHEN n < wanted THEN 'I found ' || n || ' clearly relevant indexed ' || CASE n WHEN 1 THEN 'project' ELSE 'projects' END || ':' ELSE 'Here are ' || n || ' relevant projects:' END || chr(10) || chr(10) || lines AS answer FROM g
+""")
+def listed_answers(t: Tables) -> DataFrame:
+    return answers.listed(_page_hits(t))
+
+
+@R.add()
+def speech_chunks(t: Tables) -> DataFrame:
+    """What a voice says of each conversation's turns; no SQL, for it is a fold over the parts of a call (tests/test_tables.py)."""
+    return events.speech_chunks(t("conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("at"), F.concat("text", F.lit(" ")).alias("part")))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+
+#: Sitemaps that are read of one site, and the references in their addresses.
+SITEMAPS = 100
+ESCAPED = {"&amp;": "&", "&lt;": "<", "&gt;": ">"}
 
 
 def sitemap_urls(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
+    return F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
 
 
 def robots(text: Column, bot: str) -> Column:
@@ -31,14 +38,55 @@ def allowed(path: Column, include: list[str], exclude: list[str]) -> Column:
     return (some(include) if include else F.lit(True)) & (~some(exclude) if exclude else F.lit(True))
 
 
+def _shared(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; unset, a session on one machine gets a temporary folder and a cluster an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (context.master.startswith("local-cluster") or not context.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(base or tempfile.mkdtemp(prefix="sparkloom-"))
+
+
+def origin(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
+
+
+def sitemap_pages(fetched: DataFrame, roots: DataFrame, maps: int = SITEMAPS) -> DataFrame:
+    """root and url of the pages that each root's sitemaps name, out of the fetched bodies (url, xml).
+
+    /sitemap.xml and /sitemap_index.xml come first; entries of an index, and entries that end in .xml or .xml.gz, are sitemaps
+    in turn, read level by level and by address, ``maps`` a root at most. Entries of another origin do not count, repeats count once.
+    """
+    _shared(fetched.sparkSession)
+    bodies = fetched.select(F.col("url").alias("map"), "xml")
+    starts = F.array(*(F.concat(origin(F.col("root")), F.lit(name)) for name in ("/sitemap.xml", "/sitemap_index.xml")))
+    frontier = roots.select("root", F.explode(starts).alias("map")).distinct().checkpoint()
+    seen, pages = frontier, None
+    while not frontier.isEmpty():
+        named = frontier.join(bodies, "map").select("root", F.col("xml").rlike(r"(?i)<sitemapindex[\s>]").alias("index"), F.explode(sitemap_urls(F.col("xml"))).alias("url"))
+        plain = F.col("url")
+        for entity, character in ESCAPED.items():
+            plain = F.replace(plain, F.lit(entity), F.lit(character))
+        named = named.withColumn("url", plain).where(origin(F.col("url")) == origin(F.col("root")))
+        named = named.select("root", "url", (F.col("index") | F.col("url").rlike(r"(?i)^[^?#]*\.xml(?:\.gz)?(?:[?#]|\z)")).alias("map")).distinct().checkpoint()
+        found = named.where("NOT map").select("root", "url")
+        pages = found if pages is None else pages.unionByName(found)
+        fresh = named.where("map").select("root", F.col("url").alias("map")).join(seen, ["root", "map"], "left_anti")
+        room = seen.groupBy("root").agg((F.lit(maps) - F.count("*")).alias("room"))
+        nth = F.row_number().over(Window.partitionBy("root").orderBy("map"))
+        frontier = fresh.withColumn("nth", nth).join(room, "root").where("nth <= room").select("root", "map").checkpoint()
+        seen = seen.unionByName(frontier)
+    return pages.distinct() if pages is not None else roots.select("root", F.lit("").alias("url")).limit(0)
+
+
 def reachable(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """url and depth of what links (page, link) reach from roots (url) in at most depth steps, breadth first.
 
     Each step joins the new frontier alone; its lineage is cut by a checkpoint in the shared folder.
     """
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sparkloom-checkpoints")
+    _shared(links.sparkSession)
     seen = roots.select("url", F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = seen
     for k in range(1, depth + 1):

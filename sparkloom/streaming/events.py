@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,28 +51,35 @@ def limit_rate(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 class EnergyDetector:
-    """Speech begins and ends in a run of frame loudness: an adaptive floor, five frames to begin, 38 quiet ones to end, 1500 at most."""
+    """Speech begins and ends in a run of frame loudness: five loud frames to begin, 38 quiet ones to end, 1500 at most.
 
-    def __init__(self, onset: int = 5, hangover: int = 38, most: int = 1500, ratio: float = 3.0, least: float = 0.01):
-        self.onset, self.hangover, self.most, self.ratio, self.least = onset, hangover, most, ratio, least
-        self.floor, self.loud, self.quiet, self.length, self.speaking = least / ratio, 0, 0, 0, False
+    A frame is loud above ``ratio`` times the noise floor. Quiet frames outside speech move the floor, the first ones faster;
+    it never falls below ``least``. Speech that is cut at its most frames was noise that did not end: the floor starts anew from it.
+    """
+
+    def __init__(self, onset: int = 5, hangover: int = 38, most: int = 1500, ratio: float = 3.2, least: float = 0.004, warm: int = 25, pace: tuple[float, float] = (0.2, 0.03)):
+        self.onset, self.hangover, self.most, self.ratio, self.least, self.warm, self.pace = onset, hangover, most, ratio, least, warm, pace
+        self.floor, self.seen, self.loud, self.quiet, self.length, self.speaking = least, 0, 0, 0, 0, False
 
     def push(self, rms: float) -> str | None:
-        loud = rms > max(self.least, self.floor * self.ratio)
+        self.seen += 1
+        loud = rms > self.floor * self.ratio
+        self.loud, self.quiet = (self.loud + 1, 0) if loud else (0, self.quiet + 1)
         if not self.speaking:
-            self.loud = self.loud + 1 if loud else 0
             if not loud:
-                self.floor += 0.05 * (rms - self.floor)
-            if self.loud >= self.onset:
-                self.speaking, self.quiet, self.length, self.loud = True, 0, 0, 0
-                return "speech_start"
-            return None
+                self.floor = max(self.least, self.floor + self.pace[self.seen >= self.warm] * (rms - self.floor))
+            if self.loud < self.onset:
+                return None
+            self.speaking, self.length = True, 0
+            return "speech_start"
         self.length += 1
-        self.quiet = 0 if loud else self.quiet + 1
-        if self.quiet >= self.hangover or self.length >= self.most:
-            self.speaking = False
-            return "speech_end"
-        return None
+        cut = self.length >= self.most
+        if not cut and self.quiet < self.hangover:
+            return None
+        self.speaking, self.loud = False, 0
+        if cut:
+            self.floor = max(self.least, 0.9 * rms)
+        return "speech_end"
 
 
 def speech_events(frames: DataFrame) -> DataFrame:
@@ -89,3 +97,70 @@ def speech_events(frames: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["call_id", "frame", "event"])
 
     return frames.select("call_id", "frame", "rms").repartition("call_id").sortWithinPartitions("call_id", "frame").mapInPandas(run, "call_id long, frame long, event string")
+
+
+#: Where a sentence ends, and abbreviations that end none.
+SENTENCE_END = re.compile(r"[.!?…]\s+|\n+")
+ABBREVIATION = re.compile(r"(?:^|\s)(?:mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|approx|fig|no)\.$", re.IGNORECASE)
+
+
+class SpeechCutter:
+    """Cuts text that arrives in parts at the ends of sentences; what grows beyond ``first`` characters, later ``most``, is cut at a blank."""
+
+    def __init__(self, first: int = 60, most: int = 240):
+        self.limit, self.most, self.held = first, most, ""
+
+    def _end(self) -> int | None:
+        for edge in SENTENCE_END.finditer(self.held):
+            sentence = self.held[: edge.end()].strip()
+            if sentence and not ABBREVIATION.search(sentence):
+                return edge.end()
+        if len(self.held) <= self.limit:
+            return None
+        blank = self.held.rfind(" ", 0, self.limit)
+        return blank + 1 if blank > self.limit / 2 else self.limit
+
+    def push(self, part: str) -> list[str]:
+        self.held += part
+        pieces = []
+        while end := self._end():
+            piece, self.held = self.held[:end].strip(), self.held[end:]
+            if piece:
+                pieces.append(piece)
+                self.limit = self.most
+        return pieces
+
+    def rest(self) -> str | None:
+        piece, self.held = self.held.strip(), ""
+        return piece or None
+
+
+def speech_chunks(parts: DataFrame) -> DataFrame:
+    """call_id, n (from 1) and chunk: what is spoken of each call's parts (call_id, at, part) in order; a null part says nothing.
+
+    A call streams through its task in order, and only its unspoken rest is held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, cutter, n = None, SpeechCutter(), 0
+        out: list[tuple] = []
+
+        def say(pieces: list[str | None]) -> None:
+            nonlocal n
+            for piece in filter(None, pieces):
+                n += 1
+                out.append((call, n, piece))
+
+        for b in batches:
+            for c, part in zip(b.call_id, b.part):
+                if c != call:
+                    say([cutter.rest()])
+                    call, cutter, n = c, SpeechCutter(), 0
+                say(cutter.push(part or ""))
+            yield pd.DataFrame(out, columns=["call_id", "n", "chunk"])
+            out.clear()
+        say([cutter.rest()])
+        yield pd.DataFrame(out, columns=["call_id", "n", "chunk"])
+
+    rows = parts.where("call_id IS NOT NULL").select("call_id", "at", "part").repartition("call_id").sortWithinPartitions("call_id", "at")
+    return rows.mapInPandas(run, "call_id long, n long, chunk string")

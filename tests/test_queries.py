@@ -10,7 +10,7 @@ import __spark_entry__ as e
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [k for r in e.REPORTS for k in r.queries]
+NAMES = [k for r in e.REPORTS for k in r.sql]
 
 
 @pytest.fixture(scope="module")

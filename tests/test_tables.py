@@ -89,3 +89,34 @@ def test_speech(spark):
     frames = [(c, k, 0.3 if 20 <= k < 80 and c else 0.001) for c in (0, 1) for k in range(200)] + [(2, 0, None)]
     got = s.speech_events(spark.createDataFrame(frames, "call_id long, frame long, rms double"))
     assert rows(got) == [(1, 117, "speech_end"), (1, 24, "speech_start")]
+
+
+def test_speech_floor():
+    """A cut starts the floor anew from the noise, which is then no speech; quiet frames never take it below its least value."""
+    d = s.EnergyDetector(most=50)
+    assert [d.push(0.2) for _ in range(55)].index("speech_end") == 54 and d.floor == pytest.approx(0.18)
+    assert not any(d.push(0.2) for _ in range(20)) and not any(d.push(0.0) for _ in range(500)) and d.floor == 0.004
+
+
+def test_speech_chunks(spark):
+    said = lambda *parts: [r.chunk for r in s.speech_chunks(spark.createDataFrame([(1, k, p) for k, p in enumerate(parts)], "call_id long, at long, part string")).orderBy("n").collect()]
+    assert said("Hello there. ") == ["Hello there."]
+    assert said("Contact Dr. ", None, "Smith about the refund policy today. ") == ["Contact Dr. Smith about the refund policy today."]
+    assert said("All done. ", "One more thing") == ["All done.", "One more thing"] and said("", None, "  ") == []
+    long = said("word " * 40 + "x" * 300)
+    assert len(long[0]) <= 60 and all(len(c) <= 240 for c in long) and "".join(long).replace(" ", "") == "word" * 40 + "x" * 300
+    two = spark.createDataFrame([(c, k, w) for c in (1, 2) for k, w in enumerate(["Yes. ", f"Call {c}"])], "call_id long, at long, part string")
+    assert rows(s.speech_chunks(two)) == [(1, 1, "Yes."), (1, 2, "Call 1"), (2, 1, "Yes."), (2, 2, "Call 2")]
+
+
+def test_sitemaps(spark):
+    loc = lambda *urls: "".join(f"<url><LOC> {u} </LOC></url>" for u in urls)
+    fetched = [
+        ("https://a.com/sitemap.xml", "<sitemapindex>" + loc("https://a.com/one", "https://b.com/map.xml", "https://a.com/sitemap.xml") + "</sitemapindex>"),
+        ("https://a.com/one", loc("https://a.com/x?a=1&amp;b=2", "https://a.com/more.xml.gz?v=1", "https://b.com/y", "https://a.com/z", "https://a.com/z")),
+        ("https://a.com/more.xml.gz?v=1", loc("https://a.com/deep")),
+        ("https://b.com/map.xml", loc("https://a.com/never")),
+    ]
+    table, roots = spark.createDataFrame(fetched, "url string, xml string"), spark.createDataFrame([("https://a.com/start",)], "root string")
+    assert [r.url for r in crawl.sitemap_pages(table, roots).orderBy("url").collect()] == ["https://a.com/deep", "https://a.com/x?a=1&b=2", "https://a.com/z"]
+    assert crawl.sitemap_pages(table, roots, 2).count() == 0 and crawl.sitemap_pages(table, roots.limit(0)).count() == 0

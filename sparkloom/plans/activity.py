@@ -121,3 +121,31 @@ def limit_rate(events: DataFrame, key: str, limit: int, seconds: int) -> DataFra
             yield pd.DataFrame({"event_id": b.event_id, "passed": passed})
 
     return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, "event_id long, passed boolean")
+
+
+#: What the events of a call stand for: a question, the first sound of its answer, the end of the answer, the caller's voice and a failure.
+ASKED, SPOKE, DONE, VOICE, FAILED = "click", "view", "purchase", "signup", "error"
+
+
+@R.add(f"""
+WITH o AS (SELECT *, row_number() OVER w AS n, sum(CASE WHEN event_type = '{ASKED}' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+h AS (SELECT *, max(CASE WHEN event_type = '{SPOKE}' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, turn ORDER BY n ROWS UNBOUNDED PRECEDING) = 1 AS heard FROM o WHERE turn > 0),
+g AS (SELECT user_id, turn, min(event_id) FILTER (WHERE event_type = '{ASKED}') AS question, min(n) FILTER (WHERE event_type = '{SPOKE}') AS spoke, min(n) FILTER (WHERE event_type = '{DONE}') AS done,
+  min(n) FILTER (WHERE event_type = '{FAILED}') AS failed, min(n) FILTER (WHERE event_type = '{VOICE}' AND heard) AS barged FROM h GROUP BY ALL),
+e AS (SELECT *, least(done, failed, barged) AS ended, max(turn) OVER (PARTITION BY user_id) AS last FROM g)
+SELECT user_id, CAST(turn AS BIGINT) AS turn, question, spoke IS NOT NULL AND (ended IS NULL OR spoke < ended) AS audible,
+  CASE WHEN ended = done THEN 'answered' WHEN ended = failed THEN 'failed' WHEN ended = barged THEN 'interrupted' WHEN turn < last THEN 'replaced' ELSE 'open' END AS outcome FROM e
+""")
+def voice_turns(t: Tables) -> DataFrame:
+    """Each turn of a call and how it ended: a voice interrupts only an answer that is heard, and a new question replaces whatever goes on."""
+    call = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t("events").select("user_id", "event_id", "ts", "event_type").withColumn("n", F.row_number().over(call)).withColumn("turn", F.count_if(F.col("event_type") == ASKED).over(call.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = Window.partitionBy("user_id", "turn").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.where("turn > 0").withColumn("heard", F.count_if(F.col("event_type") == SPOKE).over(turn) > 0)
+    first = lambda kind, value="n": F.min(F.when(F.col("event_type") == kind, F.col(value)))
+    barged = F.min(F.when((F.col("event_type") == VOICE) & F.col("heard"), F.col("n")))
+    turns = rows.groupBy("user_id", "turn").agg(first(ASKED, "event_id").alias("question"), first(SPOKE).alias("spoke"), first(DONE).alias("done"), first(FAILED).alias("failed"), barged.alias("barged"))
+    turns = turns.withColumn("ended", F.least("done", "failed", "barged")).withColumn("last", F.max("turn").over(Window.partitionBy("user_id")))
+    how = F.when(F.col("ended") == F.col("done"), "answered").when(F.col("ended") == F.col("failed"), "failed").when(F.col("ended") == F.col("barged"), "interrupted").when(F.col("turn") < F.col("last"), "replaced").otherwise("open")
+    audible = F.col("spoke").isNotNull() & (F.col("ended").isNull() | (F.col("spoke") < F.col("ended")))
+    return turns.select("user_id", "turn", "question", audible.alias("audible"), how.alias("outcome"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -70,6 +72,21 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
+def _folds() -> tuple[str, str]:
+    """Characters whose compatibility form is one ASCII or Arabic letter, digit or sign, and those forms, in the same order."""
+    forms = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(128, sys.maxunicode + 1))
+    pairs = [(c, f) for c, f in forms if len(f) == 1 and f != c and (f < "\x80" or "\u0600" <= f <= "\u06ff")]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+
+
+WIDE, NARROW = _folds()
+
+
+def narrow(text: Column) -> Column:
+    """Text with full-width, mathematical and presentation forms as plain letters: what of NFKC bears on the patterns."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, WIDE, NARROW)).otherwise(text)
+
+
 def matches(text: Column, *patterns: str) -> Column:
     """Whether any of the patterns, case-insensitively, occurs in text."""
     return reduce(lambda a, b: a | b, (text.rlike("(?i)" + ascii_edges(p)) for p in patterns))
@@ -173,7 +190,7 @@ def break_character(question: Column) -> Column:
 
 
 def human_support(question: Column) -> Column:
-    return matches(F.trim(F.regexp_replace(F.regexp_replace(question, "[’']", ""), r"\s+", " ")), *HUMAN_SUPPORT)
+    return matches(F.trim(F.regexp_replace(F.regexp_replace(narrow(question), "[’']", ""), r"\s+", " ")), *HUMAN_SUPPORT)
 
 
 def latest_link(question: Column) -> Column:

@@ -71,7 +71,8 @@ def _any(column: str, patterns) -> str:
 
 
 _PLAIN = r"regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g')"
-_NORMAL = r"trim(regexp_replace(replace(replace(text, '’', ''), '''', ''), '\s+', ' ', 'g'))"
+_WIDE, _NARROW = x.WIDE, x.NARROW.replace("'", "''")
+_NORMAL = rf"trim(regexp_replace(replace(replace(translate(text, '{_WIDE}', '{_NARROW}'), '’', ''), '''', ''), '\s+', ' ', 'g'))"
 ROUTE = f"""CASE WHEN {_any(_PLAIN, [x.ATTACK_PHRASE, x.DISCARD])} OR ({_any(_PLAIN, x.INSTRUCTIONS)} AND {_rlike(_PLAIN, x.REVEAL)}) THEN 'attack'
 WHEN {_any(_NORMAL, x.HUMAN_SUPPORT)} THEN 'handoff'
 WHEN {_rlike('text', x.LATEST_LINK[0])} AND {_rlike('text', x.LATEST_LINK[1])} THEN 'latest_link'

@@ -67,3 +67,16 @@ def test_answers(spark):
     said = spark.createDataFrame([(1, "Yes [2, 1] and [2]."), (2, "No.")], "item_id long, answer string")
     assert sorted((r.item_id, r.place) for r in answers.cited(said).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
     assert [r.v for r in said.select(answers.without_marks(F.col("answer")).alias("v")).collect()] == ["Yes and.", "No."]
+
+
+def test_narrow(spark):
+    """Wide, mathematical and presentation forms are plain, as NFKC makes them; all else stays."""
+    import duckdb
+
+    texts = ["ｔａｌｋ　ｔｏ ａ 𝐡𝐮𝐦𝐚𝐧", "plain \u00a0 x² ＇", "ﺍ café ’", "", None, "talk to a human"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = rows.select("k", x.narrow(F.col("text")).alias("n"), x.human_support(F.col("text")).alias("h")).orderBy("k").collect()
+    assert [r.n for r in got] == ["talk to a human", "plain   x2 '", "ا café ’", "", None, "talk to a human"]
+    assert [r.h for r in got] == [True, False, False, False, None, True]
+    quoted = x.NARROW.replace("'", "''")
+    assert [duckdb.execute(f"SELECT translate(?, '{x.WIDE}', '{quoted}')", [s]).fetchone()[0] for s in texts] == [r.n for r in got]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .registry import Registry, Tables
 from .relational import half_up, percent
@@ -62,6 +62,33 @@ def job_details(t: Tables) -> DataFrame:
     return rows.withColumn("problems", F.nullif("problems", F.lit("")))
 
 
+#: The progress at which crawling, parsing a file and embedding end.
+CRAWLED, PARSED, EMBEDDED = 60, 25, 92
+
+
+def part_done(done: Column, of: Column, start: int, end: int) -> Column:
+    """Progress of a phase that goes from start to end as done goes from 0 to of."""
+    of = F.greatest(F.lit(1), of)
+    return start + half_up(F.least(done, of) / of * (end - start))
+
+
+@R.add(f"""
+WITH s AS (SELECT l_orderkey AS job, l_linenumber AS step, l_linenumber * 3 AS done, greatest(1, least(CAST(l_quantity AS INT), 40)) AS target, count(*) OVER (PARTITION BY l_orderkey) AS steps FROM lineitem)
+SELECT job, step, CAST(max(floor(CAST(least(done, target) AS DOUBLE) / target * {CRAWLED} + 0.5)) OVER (PARTITION BY job ORDER BY step) AS BIGINT) AS crawled,
+  CAST(floor(CAST(step AS DOUBLE) / greatest(step, steps) * {PARSED} + 0.5) AS BIGINT) AS parsed, CAST({PARSED} + floor(CAST(step AS DOUBLE) / greatest(step, steps) * {EMBEDDED - PARSED} + 0.5) AS BIGINT) AS embedded FROM s
+""")
+def job_progress(t: Tables) -> DataFrame:
+    """Progress at each step of a job: a crawl's never falls, though its target grows as pages are found; a file's goes by phase."""
+    job = Window.partitionBy("l_orderkey")
+    target = F.least(F.col("l_quantity").cast("int"), F.lit(40))
+    crawled = F.max(part_done(F.col("l_linenumber") * 3, target, 0, CRAWLED)).over(job.orderBy("l_linenumber"))
+    step, steps = F.col("l_linenumber"), F.greatest(F.col("l_linenumber"), F.count("*").over(job))
+    return t("lineitem").select(
+        F.col("l_orderkey").alias("job"), step.alias("step"), crawled.cast("long").alias("crawled"),
+        part_done(step, steps, 0, PARSED).cast("long").alias("parsed"), part_done(step, steps, PARSED, EMBEDDED).cast("long").alias("embedded"),
+    )
+
+
 @R.add("""
 SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(count(*) AS BIGINT) AS tickets, CAST(count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS BIGINT) AS urgent, max(o_orderdate) AS newest FROM orders GROUP BY ALL
 """)

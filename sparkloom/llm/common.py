@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Fixed value: the ASCII capitals, which "lower-case A-Z" means here.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,6 +33,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """materialize(df) with each row's number, from 0, in the order in which df was laid out over its partitions.
+
+    A row's number is its place in its file after the rows of all files before; the table of files, one row each, is broadcast.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    # a part's number may outgrow its five digits, so names alone do not order files
+    file, part = F.col("_metadata.file_name"), F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    back = df.sparkSession.read.schema(df.schema).parquet(path).select("*", part.alias("__part"), file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = back.groupBy("__part", "__file").agg(F.count("*").alias("__n"))
+    files = files.select("__part", "__file", (F.sum("__n").over(Window.orderBy("__part", "__file")) - F.col("__n")).alias("__start"))
+    return back.join(F.broadcast(files), ["__part", "__file"]).select(*df.columns, (F.col("__start") + F.col("__row")).alias(name))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ASCII-only texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

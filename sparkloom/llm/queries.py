@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
+from . import conversation_trie, decontaminate, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
 from .common import table
 
 #: Folder of the public vocabularies; a parameter of the operators, never copied here.
@@ -65,6 +65,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1, threshold=0.7)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), donor=c - c % 5, head=F.crc32(c.cast("string").cast("binary")) % 9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
@@ -76,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op5_url_filter": url_filter.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_prefix_trie": conversation_trie.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import conversation_trie, decontaminate, exact_dedup, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
+from . import conversation_repair, conversation_trie, decontaminate, exact_dedup, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
 from .common import table
 
 #: Folder of the public vocabularies; a parameter of the operators, never copied here.
@@ -70,6 +70,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), donor=c - c % 5, head=F.crc32(c.cast("string").cast("binary")) % 9)
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.structure_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -94,5 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.SQL,
     "op8_mixing": mixing.SQL,
     "op11_prefix_trie": conversation_trie.SQL,
+    "op12_structure_repair": conversation_repair.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
 }

@@ -1,11 +1,13 @@
-"""Text functions as Column builders; all run inside the JVM."""
+"""Text functions as Column builders; all but chunks() run inside the JVM."""
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Query words that name no topic.
@@ -63,6 +65,8 @@ BOILERPLATE = r"isbn|retrieved [0-9]|archived from|bibliography|references"
 NOT_FOUND = r"^(?:404(?:\s+error)?|not found|page not found)(?:\s*[|—–-]|\z)"
 GENERIC_SEGMENT = r"^(?:category|categories|tag|tags|search|author|page|blog|articles|posts|project|projects|archive|archives)\z"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+PARAGRAPHS = re.compile(r"\n\n+")
+SENTENCE = re.compile(r"[^.!?]+[.!?]+|[^.!?]+\Z")
 PHONE = r"\+?\d[\d\s().-]{7,}\d"
 
 
@@ -217,19 +221,29 @@ def clean_chunk_input(text: Column) -> Column:
 def chunks(text: Column, target: int = 1200, overlap: int = 180, least: int = 40) -> Column:
     """Chunks of whole sentences up to target characters; each starts with the last overlap characters of the one before.
 
-    A sentence longer than the target stays whole, and a closing chunk under ``least`` characters goes.
+    A sentence longer than the target stays whole, and a closing chunk under ``least`` characters goes. Every chunk depends on the one before, so
+    this is a loop over the sentences of an Arrow batch; as a fold of columns it copied the open chunk at every sentence (12.7 s at sf0.1).
     """
-    edge = r"^\s+|\s+\z"
-    blocks = F.filter(F.split(clean_chunk_input(text), r"\n\n+"), lambda b: b != "")
-    found = lambda b: F.regexp_extract_all(b, F.lit(r"[^.!?]+[.!?]+|[^.!?]+\z"), F.lit(0))
-    sentences = F.flatten(F.transform(blocks, lambda b: F.when(F.size(found(b)) > 0, found(b)).otherwise(F.array(b))))
-    sentences = F.filter(F.transform(sentences, lambda s: F.regexp_replace(s, edge, "")), lambda s: s != "")
-
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.concat(acc["now"], F.lit(" "), s)
-        tail = F.regexp_replace(F.concat(F.substring(acc["now"], F.greatest(F.length(acc["now"]) - (overlap - 1), F.lit(1)), F.lit(overlap)), F.lit(" "), s), edge, "")
-        full = (acc["now"] != "") & (F.length(joined) > target)
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"), F.when(full, tail).when(acc["now"] != "", joined).otherwise(s).alias("now"))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    return F.aggregate(sentences, start, step, lambda acc: F.when(F.length(acc["now"]) >= least, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
+    space = " \t\n\x0b\f\r"
+
+    def cut(body: str) -> list[str]:
+        out: list[str] = []
+        now = ""
+        for block in PARAGRAPHS.split(body):
+            for sentence in SENTENCE.findall(block) or [block]:
+                if not (s := sentence.strip(space)):
+                    continue
+                if not now:
+                    now = s
+                elif len(now) + 1 + len(s) > target:
+                    out.append(now)
+                    now = f"{now[-overlap:]} {s}".strip(space)
+                else:
+                    now = f"{now} {s}"
+        return [*out, now] if len(now) >= least else out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut(t))
+
+    return run(clean_chunk_input(text))

@@ -6,13 +6,15 @@ meet on terms; a stated block of questions is scored against the vectors of all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import text as x, vectors as v
+from ..functions import stem, text as x, vectors as v
+from ..operators.keywords import keyword_hits
 from .conversations import DISTINCT, TOKENS, _LIST
 from .registry import Registry, Sql, Tables
 
@@ -22,7 +24,7 @@ R = Registry()
 LEGS = (40, 40, 30)
 HITS = 6
 GATE = 0.30
-#: Questions whose vectors (6 KB each) go to every task.
+#: Questions whose vectors (6 KB each) go to every task at a time.
 BLOCK = 4096
 
 
@@ -196,59 +198,75 @@ def scaled(value: Column, digits: int) -> Column:
     return F.floor(value * 10**digits + 0.001).cast("long")
 
 
-def vector_leg(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """item_id, doc_id, position and score of each question's LEGS[0] nearest chunks at least, of those that share a component with it.
+def vector_leg(asked: DataFrame, chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """item_id, doc_id, position and score of the best LEGS[0] chunks of each question in each task; those of all tasks hold the best of all.
 
-    A block of questions goes to every task, which multiplies its chunks' vectors with theirs and keeps the best of each batch:
-    neither chunks nor pairs are shuffled. More than BLOCK questions meet the chunks on their slots instead.
+    Questions go to every task in blocks of about ``block``. A task multiplies its chunks' vectors with a block's and keeps a running best, so neither chunks nor
+    pairs are shuffled, and what leaves a task does not grow with its chunks. A question or chunk without a vector takes no part.
     """
-    few = asked.select("item_id", x.tokens(F.col("text"), 2).alias("words")).limit(BLOCK + 1).collect()
-    if len(few) > BLOCK:
-        a, b = embedded(asked, ["item_id"], F.col("text")).withColumnRenamed("weight", "wa"), embedded(chunks, KEYS, F.col("content"))
-        return b.join(a, "slot").groupBy("item_id", *KEYS).agg(F.round(F.sum(F.col("wa") * F.col("weight")), 6).alias("score"))
-    questions = v.matrix([r.words or [] for r in few], {})
-    block = chunks.sparkSession.sparkContext.broadcast(([r.item_id for r in few], questions, (questions != 0).astype(np.float32)))
+    asked = asked.select("item_id", x.tokens(F.col("text"), 2).alias("own"))
+    parts = max(1, -(-asked.count() // block))
+    rows = chunks.select(*KEYS, "words")
+    types = dict(asked.select("item_id").dtypes + rows.select(*KEYS).dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("item_id", *KEYS)) + ", score double"
+    out = []
+    for k in range(parts):
+        few = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
+        out.append(rows.mapInPandas(_scorer(rows.sparkSession, [r.item_id for r in few], v.matrix([r.own or [] for r in few], {})), schema))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _scorer(spark: SparkSession, items: list, near: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    full = near.any(axis=1)
+    shared = spark.sparkContext.broadcast((np.array(items, dtype=object)[full], near[full]))
+    k = LEGS[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, near, has = block.value
+        items, near = shared.value
         memo: dict[str, tuple[int, int]] = {}
-        # at most BLOCK x 2048 scores at a time
+        best = np.full((len(items), 0), -np.inf)  # a question's best scores so far, with their chunks' keys
+        docs, places = np.empty(best.shape, object), np.empty(best.shape, np.int64)
         for batch in (b.iloc[at : at + 2048] for b in batches for at in range(0, len(b), 2048)):
-            held = v.matrix(batch.words, memo)
-            score, shared = np.round(near @ held.T, 6), has @ (held != 0).T.astype(np.float32) > 0
-            docs, places = batch.doc_id.to_numpy(), batch.position.to_numpy()
-            order = np.lexsort((places, docs))  # ties go to the smaller keys
-            out = []
-            for k, item in enumerate(items):
-                own = order[shared[k, order]]
-                best = own[np.argsort(-score[k, own], kind="stable")[: LEGS[0]]]
-                out.append(pd.DataFrame({"item_id": item, "doc_id": docs[best], "position": places[best], "score": score[k, best] + 0.0}))
+            held = v.matrix([[w for w in words if len(w) > 1] for words in batch.words], memo)
+            there = held.any(axis=1)
             if len(memo) > 1_000_000:
                 memo.clear()
-            if out:
-                yield pd.concat(out)
-
-    types = dict(asked.select("item_id").dtypes + chunks.select(*KEYS).dtypes)
-    rows = chunks.select(*KEYS, x.tokens(F.col("content"), 2).alias("words"))
-    return rows.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in ("item_id", *KEYS)) + ", score double")
+            if not len(items) or not there.any():
+                continue
+            own, at = batch.doc_id.to_numpy()[there], batch.position.to_numpy()[there]
+            scores = np.hstack([best, np.round(near @ held[there].T, 6) + 0.0])
+            docs, places = (np.hstack([a, np.broadcast_to(b, (len(items), len(b)))]) for a, b in ((docs, own.astype(object)), (places, at)))
+            best, docs, places = _top(scores, docs, places, k)
+        for q in range(len(items)):
+            if best.shape[1]:
+                yield pd.DataFrame({"item_id": items[q], "doc_id": docs[q], "position": places[q], "score": best[q]})
+
+    return run
+
+
+def _top(scores: np.ndarray, docs: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row; of equal scores the smaller keys."""
+    if scores.shape[1] <= k:
+        return scores, docs, places
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    out = []
+    for s, d, p, low in zip(scores, docs, places, least):
+        reach = np.flatnonzero(s >= low)
+        order = reach[np.lexsort((p[reach], d[reach].astype(np.int64), -s[reach]))][:k]
+        out.append((s[order], d[order], p[order]))
+    return tuple(np.array([o[n] for o in out], dtype=t) for n, t in enumerate((float, object, np.int64)))
 
 
 def legs(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Questions with their terms, and item_id, doc_id, position, leg, score, place of the three ranked lists."""
+    """Questions with their terms, and item_id, doc_id, position, leg, score, place of the three ranked lists. chunks are an indexed() table."""
     asked = questions.select("item_id", x.query_terms(F.col("text")).alias("terms"), "text")
-    terms = asked.select("item_id", F.explode("terms").alias("term"))
-    held = chunks.select(*KEYS, F.explode(x.tokens(F.concat_ws("\n", "content"))).alias("term")).groupBy(*KEYS, "term").agg(F.count("*").alias("n"))
-    named = chunks.select(*KEYS, F.explode(x.tokens(F.col("title"))).alias("term")).groupBy(*KEYS, "term").agg(F.count("*").alias("m"))
-    both = held.withColumn("m", F.lit(0)).unionByName(named.withColumn("n", F.lit(0)))
-    hits = both.join(terms, "term").groupBy("item_id", *KEYS).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    noise = chunks.select(*KEYS, F.col("content").rlike("(?i)(" + x.BOILERPLATE + ")").alias("noise")).where("noise")
-    hits = hits.join(noise, KEYS, "left")
-    rank = F.round(F.col("m") + 0.4 * F.col("n") + F.when(F.col("position") == 0, 0.08).otherwise(0.0) - F.when(F.col("noise"), 2.0).otherwise(0.0), 6)
-    keyword = hits.select("item_id", *KEYS, F.lit("keyword").alias("leg"), rank.alias("score"))
-    title = hits.where("position = 0 AND m > 0").select("item_id", *KEYS, F.lit("title").alias("leg"), F.col("m").cast("double").alias("score"))
+    hits = keyword_hits(chunks, asked, KEYS).join(chunks.select(*KEYS, "noise").where("noise"), KEYS, "left")
+    rank = F.round(F.col("density") + F.when(F.col("position") == 0, 0.08).otherwise(0.0) - F.when(F.col("noise"), 2.0).otherwise(0.0), 6)
+    both = F.array(F.struct(F.lit("keyword").alias("leg"), rank.alias("score")), F.struct(F.lit("title").alias("leg"), F.when((F.col("position") == 0) & (F.col("m") > 0), F.col("m").cast("double")).alias("score")))
+    named = hits.select("item_id", *KEYS, F.inline(both)).where("score IS NOT NULL")
     near = vector_leg(asked, chunks).select("item_id", *KEYS, F.lit("vector").alias("leg"), "score")
     w = Window.partitionBy("item_id", "leg").orderBy(F.desc("score"), *KEYS)
-    ranked = near.unionByName(keyword).unionByName(title).withColumn("place", F.row_number().over(w))
+    ranked = near.unionByName(named).withColumn("place", F.row_number().over(w))
     limit = F.when(F.col("leg") == "vector", LEGS[0]).when(F.col("leg") == "keyword", LEGS[1]).otherwise(LEGS[2])
     return asked, ranked.where(F.col("place") <= limit)
 
@@ -264,7 +282,7 @@ def fused(ranked: DataFrame) -> DataFrame:
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = HITS) -> DataFrame:
     """Each question's best chunks with their place, and rank_score and confidence in millionths."""
     asked, ranked = legs(questions, chunks)
-    rows = fused(ranked).join(chunks, KEYS).join(F.broadcast(asked.select("item_id", "terms")) if asked.count() <= 100_000 else asked.select("item_id", "terms"), "item_id")
+    rows = fused(ranked).join(chunks.select(*KEYS, "title", "content"), KEYS).join(F.broadcast(asked.select("item_id", "terms")) if asked.count() <= 100_000 else asked.select("item_id", "terms"), "item_id")
     same = Window.partitionBy("item_id", "doc_id", F.md5(x.squeeze(F.col("content")))).orderBy(F.desc("rrf"), "position")
     rows = rows.withColumn("copy", F.row_number().over(same)).where("copy = 1")
     rows = rows.withColumn("lex", F.round(x.term_overlap(F.col("terms"), F.concat_ws(" ", "title", "content")), 6)).withColumn("ttl", F.round(x.term_overlap(F.col("terms"), F.col("title")), 6)).withColumn("prec", F.round(x.title_precision(F.col("title"), F.col("terms")), 6))
@@ -276,16 +294,21 @@ def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = HITS) -> Data
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("item_id", F.col("place").cast("long").alias("place"), "doc_id", F.col("position").cast("long").alias("position"), "rank_score", "confidence")
 
 
+WORDS = Sql(r"regexp_extract_all(lower({0}), '[\p{L}\p{N}]+')")
 LEG_SQL = f"""{CHUNKS},
 q0 AS (SELECT item_id, text, {DISTINCT.format('k')} AS raw FROM (SELECT item_id, text, {TOKENS.format('text')} AS k FROM benchmark)),
 q1 AS (SELECT item_id, text, raw, list_filter(raw, lambda w: w NOT IN ({_LIST(x.GENERIC_STOP_WORDS)})) AS kept FROM q0),
 asked AS (SELECT item_id, text, list_slice(CASE WHEN len(kept) > 0 THEN kept ELSE raw END, 1, 24) AS terms FROM q1),
-terms AS (SELECT item_id, unnest(terms) AS term FROM asked),
-held AS (SELECT doc_id, position, term, count(*) AS n, 0 AS m FROM (SELECT doc_id, position, unnest({TOKENS.format('content')}) AS term FROM chunks) GROUP BY ALL
-  UNION ALL SELECT doc_id, position, term, 0, count(*) FROM (SELECT doc_id, position, unnest({TOKENS.format('title')}) AS term FROM chunks) GROUP BY ALL),
-hits AS (SELECT item_id, doc_id, position, sum(n) AS n, sum(m) AS m FROM held JOIN terms USING (term) GROUP BY ALL),
+held AS (SELECT doc_id, position, word, sum(n) AS n, sum(m) AS m FROM (SELECT doc_id, position, unnest({WORDS.format('content')}) AS word, 1 AS n, 0 AS m FROM chunks
+  UNION ALL SELECT doc_id, position, unnest({WORDS.format('title')}) AS word, 0, 1 FROM chunks) GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT word FROM held UNION ALL SELECT unnest(terms) FROM asked) WHERE word NOT IN ({_LIST(stem.STOP_WORDS)})),
+{stem.stems_sql('vocabulary', 'stemmed')},
+terms AS (SELECT DISTINCT item_id, stem FROM (SELECT item_id, unnest(terms) AS word FROM asked) JOIN stemmed USING (word)),
+counted AS (SELECT doc_id, position, stem, least(sum(n), 255) AS n, least(sum(m), 255) AS m FROM held JOIN stemmed USING (word) GROUP BY ALL),
+hits AS (SELECT item_id, doc_id, position, sum(n) AS n, sum(m) AS m FROM counted JOIN terms USING (stem) GROUP BY ALL),
 {_embed_sql('qe', 'asked', 'item_id', 'text')}, {_embed_sql('ce', 'chunks', 'doc_id, position', 'content')},
-lists AS (SELECT item_id, doc_id, position, 'vector' AS leg, round(sum(qe.weight * ce.weight), 6) AS score FROM ce JOIN qe USING (slot) GROUP BY ALL
+near AS (SELECT item_id, doc_id, position, sum(qe.weight * ce.weight) AS score FROM ce JOIN qe USING (slot) GROUP BY ALL),
+lists AS (SELECT item_id, doc_id, position, 'vector' AS leg, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT item_id FROM qe) CROSS JOIN (SELECT DISTINCT doc_id, position FROM ce) LEFT JOIN near USING (item_id, doc_id, position)
   UNION ALL SELECT item_id, doc_id, position, 'keyword', round(m + 0.4 * n + CASE WHEN position = 0 THEN 0.08 ELSE 0 END - CASE WHEN regexp_matches(content, '(?i)({x.BOILERPLATE})') THEN 2.0 ELSE 0 END, 6) FROM hits JOIN chunks USING (doc_id, position)
   UNION ALL SELECT item_id, doc_id, position, 'title', m FROM hits WHERE position = 0 AND m > 0),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, leg ORDER BY score DESC, doc_id, position) AS place FROM lists) WHERE place <= CASE leg WHEN 'title' THEN 30 ELSE 40 END),
@@ -302,9 +325,15 @@ h3 AS (SELECT *, CAST(floor(1000000 * (vec * 0.45 + greatest(-1.0, least(kw, 1.0
 ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank_score DESC, rrf DESC, doc_id, position) AS place FROM h3)"""
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """chunks with what the legs read: words and title_words (lower-case, in order) and noise (whether the content is a list of references)."""
+    noise = F.col("content").rlike("(?i)(" + x.BOILERPLATE + ")")
+    return chunks.select("*", x.tokens(F.col("content"), 1).alias("words"), x.tokens(F.col("title"), 1).alias("title_words"), noise.alias("noise"))
+
+
 def _stored(t: Tables) -> DataFrame:
-    """The chunks of all documents, folded once: the legs and the hits read them from the shared checkpoint folder, where there is one."""
-    chunks = chunked(t("documents"))
+    """The index of all documents, written once: the legs and the hits read it from the shared checkpoint folder, where there is one."""
+    chunks = indexed(chunked(t("documents")))
     return chunks.checkpoint() if chunks.sparkSession.conf.get("spark.checkpoint.dir", None) else chunks
 
 

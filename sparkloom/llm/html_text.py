@@ -23,17 +23,27 @@ CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "htm
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSE_WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements, roles and words of class or id that mark what is not the article.
-CHROME_TAGS = frozenset("nav footer aside form dialog menu head".split()) | RAW
+CHROME_TAGS = frozenset("nav footer aside form fieldset label dialog menu head".split()) | RAW
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments commentlist respond replies disqus share sharing social breadcrumb breadcrumbs pagination pager related recommended widget login search".split()
 )
 #: Words that may stand beside those in a name ("site-header", "cookie-box"); any other makes it tell of something else ("notice-period").
-FRAME_WORDS = frozenset("site main top bottom left right inner outer box bar list area block wrapper wrap container region panel link links primary secondary global sticky fixed body count thread".split())
-#: Headings of reader comments.
-COMMENT_HEADING = re.compile(r"(?i)\s*(?:\d+ )?(?:reader |readers' |user )?(?:comments?|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply)|responses|discussion)\s*(?:\(\d+\)|:)?\s*")
+FRAME_WORDS = frozenset("site main top bottom left right inner outer box bar list area block wrapper wrap container region panel link links primary secondary global sticky fixed body count thread slot unit button buttons form icons inline".split())
+#: Words that prose inside an article may bear as well; they mark it only if it has links.
+SOFT_WORDS = frozenset("search related recommended".split())
+#: Headings of reader comments, and headings that are such only over a row of signed items.
+COMMENT_HEADING = re.compile(r"(?i)\s*(?:(?:\d+ )?(?:reader |readers' |user )?(?:comments?|kommentare?|commentaires?|comentarios?)|leave a (?:comment|reply)|what (?:our |the )?readers (?:say|said|think))\s*(?:\(\d+\)|:)?\s*")
+REPLIES_HEADING = re.compile(r"(?i)\s*(?:\d+ )?(?:responses|replies|discussion)\s*(?:\(\d+\)|:)?\s*")
+#: Elements, and words of class, that sign an item with its author or time.
+SIGNED_TAGS = frozenset("time cite address footer".split())
+SIGNED_WORDS = frozenset("author user username avatar date time posted comment reply byline".split())
+#: An article beside or below the winner counts from this share of its text; a signed or linked article is a part of the page's from that share of the longest one's.
+ARTICLE_SHARE, PART_SHARE = 1 / 3, 1 / 4
+UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
+COMMENT_ENDS = COMMENT_WORDS - {"comment"}
 KEPT_TAGS = frozenset("html body article main h1".split())
 #: Elements that hold a link list or menu as a whole.
 LISTING = frozenset("ul ol dl div section table center details".split())
@@ -46,7 +56,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chrome", "marks", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "signed", "items", "chrome", "marks", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
@@ -54,16 +64,20 @@ class Node:
         for k, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             found.setdefault(k.lower(), "".join(values))
         roles = set(WORDS.findall(found.get("role", "").lower()))
-        whole = [set(WORDS.findall(CAMEL.sub("-", x).lower())) for x in f"{found.get('class', '')} {found.get('id', '')}".split()]
-        named = set().union(*(x for x in whole if x <= CHROME_WORDS | FRAME_WORDS))
+        names = [WORDS.findall(CAMEL.sub("-", x).lower()) for x in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        named = {w for x in names if all(w in CHROME_WORDS or w in FRAME_WORDS or w.isdigit() for w in x) for w in x}
+        named |= {x[-1] for x in names if x and x[-1] in COMMENT_ENDS}  # "post-comments"
+        if any(k == "data-ad" or k.startswith("data-ad-") for k in found):
+            named.add("ad")
+        self.signed = tag in SIGNED_TAGS or any(w in SIGNED_WORDS for x in names for w in x)
         self.article = tag in ("article", "main") or bool(roles & ARTICLE_ROLES) or found.get("itemprop", "").lower() == "articlebody"
         plain = tag not in KEPT_TAGS and tag not in HEADINGS and not self.article
-        self.chrome = tag in CHROME_TAGS or plain and ("hidden" in found or bool(roles & CHROME_ROLES))
+        self.chrome = tag in CHROME_TAGS or plain and ("hidden" in found or bool(roles & CHROME_ROLES) or bool(UNSEEN.search(found.get("style", ""))))
         #: Words of class or id (and an article's roles) that make the node chrome, unless unmark() finds the article in it.
         self.marks = named & CHROME_WORDS if plain and not self.chrome else frozenset()
         if self.article and tag != "main" and not self.chrome:  # an article's own mark is a whole name, "comment-..." or its role: "comments-open" tells of something else
-            names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
-            self.marks = CHROME_WORDS & {x.split("-")[0] if x.startswith("comment-") else x for x in names} | roles & CHROME_ROLES
+            own = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+            self.marks = CHROME_WORDS & {x.split("-")[0] if x.startswith("comment-") else x for x in own} | roles & CHROME_ROLES
         if tag == "header" and not self.chrome:
             self.chrome = not any(x.article for x in self.above())
 
@@ -98,7 +112,7 @@ def parse(html: str) -> Node:
             continue
         attributes = m[3] if m[3] is not None else m[6] or ""
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if tag != "svg" or not attributes.endswith("/"):  # HTML closes no other of these by a slash
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             open_[-1].items.append(" ")
@@ -141,10 +155,53 @@ def _remarks(root: Node) -> None:
         if node.tag in HEADINGS and node.parent and node.parent.tag in LISTING and not node.parent.article:
             first = next((x for x in node.parent.items if isinstance(x, Node) or x.strip()), None)
             said = "".join(x for x in node.items if isinstance(x, str))
-            if first is node and len(node.parent.items) > 1 and COMMENT_HEADING.fullmatch(said):
+            if first is node and len(node.parent.items) > 1 and (COMMENT_HEADING.fullmatch(said) or REPLIES_HEADING.fullmatch(said) and _signed_row(node.parent)):
                 node.parent.marks = node.parent.marks | {"comments"}
 
 
+def _below(node: Node) -> Iterator[Node]:
+    """node and all below it that is not chrome, and what signs it even if that is."""
+    todo = [node]
+    for x in todo:
+        yield x
+        todo.extend(y for y in x.items if isinstance(y, Node) and (not y.chrome or y.signed))
+
+
+def _signed_row(node: Node) -> bool:
+    """Whether node, or a list in it, holds two items or more of one kind that bear an author or a time."""
+    for holder in (node, *(x for x in node.items if isinstance(x, Node) and x.tag in LISTING)):
+        kinds: dict[str, int] = {}
+        for x in holder.items:
+            if isinstance(x, Node) and x.tag not in HEADINGS and any(y.signed for y in _below(x)):
+                kinds[x.tag] = kinds.get(x.tag, 0) + 1
+        if any(n > 1 for n in kinds.values()):
+            return True
+    return False
+
+
+def _nested(root: Node) -> None:
+    """Mark the articles inside an article whose own text is more than theirs: they are what readers wrote."""
+    nodes = _nodes(root)
+    if sum(n.tag == "article" for n in nodes) < 2:
+        return
+    home: dict[Node, Node | None] = {}  # the nearest article a node is in
+    chars: dict[Node, int] = {}
+    inner: dict[Node, int] = {}
+    for n in nodes:
+        home[n] = n.parent if n.parent and n.parent.tag == "article" else home.get(n.parent)
+        own = n if n.tag == "article" else home[n]
+        if own is not None:
+            chars[own] = chars.get(own, 0) + sum(len(x) - x.count(" ") - x.count("\n") for x in n.items if isinstance(x, str))
+    whole = dict(chars)
+    for n in reversed(nodes):
+        if n.tag == "article" and (up := home[n]) is not None:
+            whole[up] = whole.get(up, 0) + whole.get(n, 0)
+            inner[up] = inner.get(up, 0) + whole.get(n, 0)
+    for n in nodes:
+        if n.tag == "article" and (up := home[n]) is not None and chars.get(up, 0) > inner.get(up, 0):
+            n.marks = n.marks | {"comments"}
+
+
 def unmark(root: Node) -> None:
     """Make nodes marked by class or id chrome, but not one that holds an article or most of the page's text outside links.
 
@@ -172,12 +229,14 @@ def unmark(root: Node) -> None:
         if n.marks:
             beside = held[root] - held[n] - around[up]
             keep = plain[n] * 2 > plain[root] or held[n] > 0 and not within[up] or n.article and not held[root]
+            keep = keep or within[up] and n.marks <= SOFT_WORDS and all(x.tag != "a" for x in _below(n))
             n.chrome = not keep or beside > 0 and bool(n.marks & COMMENT_WORDS)
 
 
 def weigh(root: Node) -> list[Node]:
     """Settle what is chrome and set every other node's density and density sum."""
     _remarks(root)
+    _nested(root)
     unmark(root)
     nodes = _nodes(root)
     for n in nodes:
@@ -203,9 +262,9 @@ def weigh(root: Node) -> list[Node]:
 def bodies(root: Node) -> list[Node]:
     """The subtrees that form the article, in page order; what does not belong to them is taken out of the tree.
 
-    The node of the largest sum counts whole but for link lists below the threshold. If it is in an article element, so do that one and
-    its unmarked siblings of the same tag; else a branch beside its path to the body counts if it reaches the threshold and is not mostly
-    links, and so do headings of the page.
+    The node of the largest sum counts. If it is in an article element, or such elements below it hold ARTICLE_SHARE of its text, these count instead, with their siblings of the same
+    tag that are no comments or teasers; else a branch beside its path to the body counts if it reaches the threshold and is not mostly
+    links, and so do headings of the page. Link lists below the threshold go, but not from an article, nor from under a heading.
     """
     nodes = weigh(root)
     text = [n for n in nodes if n.chars]
@@ -215,9 +274,17 @@ def bodies(root: Node) -> list[Node]:
     if best.total == 0.0:
         best = max(text, key=lambda n: n.density)
     above = [best, *best.above()]
-    if lifted := next((n for n in above if n.article), None):
-        threshold = min(n.density for n in above[: above.index(lifted) + 1])
+    lifted = next((n for n in above if n.article), None)
+    if not lifted:
+        below = [n for n in nodes if n.article and n.chars and not any(x.article and x.tag != "main" for x in n.above()) and best in n.above()]
+        below = [n for n in below if n.tag != "main" or not any(x.article and n in x.above() for x in below)]
+        if sum(n.chars - n.link_chars for n in below) >= ARTICLE_SHARE * max(1, best.chars - best.link_chars):
+            lifted = max(below, key=lambda n: n.chars, default=None)
+    if lifted:
+        threshold = min(n.density for n in above[: above.index(lifted) + 1]) if lifted in above else lifted.density
         found = [n for n in nodes if n is lifted or n.article and n.chars and n.tag == lifted.tag and n.parent is lifted.parent]
+        longest = max(n.chars for n in found)
+        found = [n for n in found if n is lifted or n.chars >= PART_SHARE * longest or not _foreign(n)]
     else:
         path = [n for n in above if n.tag not in ("html", "body")] or [best]
         threshold = min(n.density for n in path)
@@ -225,10 +292,16 @@ def bodies(root: Node) -> list[Node]:
             outer.items = [x for run in _runs(outer) if _counts(run, inner, threshold) for x in run]
         found = [root]
     for n in found:
-        _drop_links(n, threshold)
+        if not (n.article and n.tag != "main"):
+            _drop_links(n, threshold)
     return found
 
 
+def _foreign(article: Node) -> bool:
+    """Whether a short article is signed as a comment is, or leads elsewhere as a teaser does."""
+    return any(x is not article and x.signed or x.tag == "a" and x.parent and (x.parent.tag in HEADINGS or any(y.tag in HEADINGS for y in x.items if isinstance(y, Node))) for x in _below(article))
+
+
 def _inline(x: Node | str) -> bool:
     """Whether x is text or an inline element without blocks in it."""
     todo = [x]
@@ -269,7 +342,13 @@ def _drop_links(top: Node, threshold: float) -> None:
     """Take out the containers below top that are mostly links and do not reach the threshold."""
     todo = [top]
     for node in todo:
-        node.items = [x for x in node.items if isinstance(x, str) or x.chrome or not (x.tag in LISTING and x.link_chars * 2 >= x.chars > 0 and x.density < threshold)]
+        kept, headed = [], False
+        for x in node.items:
+            if isinstance(x, str) or x.chrome or headed or not (x.tag in LISTING and x.link_chars * 2 >= x.chars > 0 and x.density < threshold):
+                kept.append(x)
+            if isinstance(x, Node) or x.strip():
+                headed = isinstance(x, Node) and x.tag in HEADINGS and x.tag != "h1"
+        node.items = kept
         todo.extend(x for x in node.items if isinstance(x, Node) and not x.chrome)
 
 

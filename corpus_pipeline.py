@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import decontaminate, mixing, ngram_join, token_output, toxicity
-from sparkloom.llm.common import materialize, table
-from sparkloom.llm.queries import TOKENIZERS, source_weights
+from sparkloom.llm.common import discard, materialize, table
+from sparkloom.llm.queries import TOKENIZER, source_weights
 
 #: Documents of this score or more are rejected as toxic.
 TOXIC = 0.7
@@ -46,7 +46,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # a part's number may outgrow its five digits, so names do not order files
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
     placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return token_output.token_output(placed, f"{TOKENIZERS}/word_bpe_49k.json", END_ID, place=["part", "file", "row"])
+    return token_output.token_output(placed, TOKENIZER, END_ID, place=["part", "file", "row"])
 
 
 STAGES = [
@@ -62,8 +62,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again before the next; what a stage has read goes once the next is written."""
+    docs = given = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if before is not given:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,6 +19,8 @@ from .common import materialize
 
 #: Slots of a period that the native fold schedules, and whose table is broadcast; a longer one takes long_schedule() and a shuffle join.
 MAX_PERIOD = 10_000
+#: Slots of one piece of the fold.
+PIECE = 256
 #: Hex digits of the key that part a source for counting: 16 ** 3 parts of each source.
 DIGITS = 3
 
@@ -29,22 +31,36 @@ def schedule(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
         raise ValueError("every source needs a weight of 1 or more")
     if (total := sum(weights.values())) > MAX_PERIOD:
         raise ValueError(f"weights sum to {total}; at most {MAX_PERIOD} are scheduled")
+    # sources of one weight have the same releases and deadlines, so they take each block in turn, by name: the state is one block and one turn a weight
     names = sorted(weights)
+    sizes = sorted(set(weights.values()))
+    groups = [[i for i, n in enumerate(names) if weights[n] == a] for a in sizes]
     array = lambda x: F.array(*map(F.lit, x))
-    one = spark.range(1).select(array(names).alias("s"), array([weights[n] for n in names]).alias("a"))
+    one = spark.range(1).select(array(names).alias("s"), array(sizes).alias("a"), F.array(*map(array, groups)).alias("of"))
 
-    def job(done: Column, i: Column) -> Column:
-        j, a = F.get(done, i), F.get(F.col("a"), i)
-        return F.struct(F.ceil((j + 1) * total / a).cast("int").alias("deadline"), i.alias("i"), F.floor(j * total / a).cast("int").alias("release"), j.alias("block"))
+    def job(now: Column, g: Column) -> Column:
+        j, a = now["block"], F.get(F.col("a"), g)
+        return F.struct(F.ceil((j + 1) * total / a).cast("int").alias("deadline"), F.get(F.get(F.col("of"), g), now["turn"]).alias("i"), F.floor(j * total / a).cast("int").alias("release"), j.alias("block"), g.alias("g"))
 
     def step(state: Column, t: Column) -> Column:
-        jobs = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: job(state["done"], i))
-        pick = F.array_min(F.filter(jobs, lambda x: x["release"] <= t))
-        return F.struct(F.transform(state["done"], lambda d, i: F.when(i == pick["i"], d + 1).otherwise(d)).alias("done"), F.concat(state["out"], F.array(F.struct(t.alias("at"), *(pick[c].alias(c) for c in ("i", "block", "release", "deadline"))))).alias("out"))
-
-    start = F.struct(array([0] * len(names)).alias("done"), F.array().cast("array<struct<at:int,i:int,block:int,release:int,deadline:int>>").alias("out"))
-    out = one.select("s", "a", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, step)["out"]).alias("x"))
-    return out.select(F.get("s", F.col("x.i")).alias("source"), F.get("a", F.col("x.i")).alias("weight"), "x.block", "x.at", "x.release", "x.deadline", F.lit(total).alias("period"))
+        pick = F.array_min(F.filter(F.transform(state["now"], job), lambda x: x["release"] <= t))
+        last = lambda n, g: n["turn"] + 1 == F.size(F.get(F.col("of"), g))
+        following = lambda n, g: F.struct((n["block"] + last(n, g).cast("int")).alias("block"), F.when(last(n, g), 0).otherwise(n["turn"] + 1).alias("turn"))
+        moved = F.transform(state["now"], lambda n, g: F.when(g == pick["g"], following(n, g)).otherwise(n))
+        return F.struct(moved.alias("now"), F.concat(state["out"], F.array(F.struct(t.alias("at"), *(pick[c].alias(c) for c in ("i", "block", "release", "deadline"))))).alias("out"))
+
+    jobs = "array<struct<at:int,i:int,block:int,release:int,deadline:int>>"
+
+    def piece(state: Column, first: Column) -> Column:
+        # slots leave the fold in pieces: an array that grew by each slot would be copied at each
+        slots = F.sequence(first, F.least(first + PIECE, F.lit(total)) - 1)
+        begin = F.struct(state["now"].alias("now"), F.array().cast(jobs).alias("out"))
+        return F.aggregate(slots, begin, step, lambda x: F.struct(x["now"].alias("now"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
+    begin = F.struct(F.transform("a", lambda _: F.struct(F.lit(0).alias("block"), F.lit(0).alias("turn"))).alias("now"), F.array().cast(f"array<{jobs}>").alias("out"))
+    out = one.select("s", F.explode(F.flatten(F.aggregate(F.sequence(F.lit(0), F.lit(total - 1), F.lit(PIECE)), begin, piece)["out"])).alias("x"))
+    weight = F.create_map(*(F.lit(v) for a, g in zip(sizes, groups) for i in g for v in (i, a)))
+    return out.select(F.get("s", F.col("x.i")).alias("source"), F.element_at(weight, F.col("x.i")).alias("weight"), "x.block", "x.at", "x.release", "x.deadline", F.lit(total).alias("period"))
 
 
 def long_schedule(weights: DataFrame, total: int) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import conversation_repair, conversation_trie, decontaminate, exact_dedup, html_text, licenses, mixing, nearest, ngram_join, quality, token_output, toxicity, url_filter
 from .common import table
 
-#: Folder of the public vocabularies; a parameter of the operators, never copied here.
-TOKENIZERS = "/opt/tokenizers"
+#: A vocabulary of the public_tokenizers package, found there by each worker; never copied here.
+TOKENIZER = "word_bpe_49k.json"
 
 #: The URL rules of the contract (host, path, verdict).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -32,7 +32,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_output(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return token_output.token_output(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,9 +260,11 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
-    """The worker's own encoder, kept from task to task."""
+    """The worker's own encoder, kept from task to task; a name without a folder is one of the public_tokenizers package."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        import public_tokenizers
+
+        _encoders[path] = WordEncoder(path if "/" in path else str(public_tokenizers.path(path)))
     return _encoders[path]
 
 

@@ -80,16 +80,16 @@ def suffixes(host: str) -> list[str]:
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Per page: page_id, host, path, rule and verdict.
 
     A rule fits its host and all subdomains if the path starts with its path; the longest rule string wins, then
-    the one of the longer host. Where none fits, rule is null and verdict is ``default``. Null urls and urls without :// have an
-    empty host and path. Rules that repeat a host and path count once, the last one. No pages, no rows; no rules, all
+    the one of the longer host. rules are a list, or a table (host, path, verdict, and n where the order of repeats matters). Where none fits, rule is null and verdict is ``default``. Null urls and urls without :// have an
+    empty host and path. Rules that repeat a host and path count once, the last one (of a table the one of the largest n, then "block"). No pages, no rows; no rules, all
     default. Repeated ids are rows of their own, and other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    if len(rules) > MAX_MAPPED:
+    if isinstance(rules, DataFrame) or len(rules) > MAX_MAPPED:
         return judge_by_join(rows, rules, default)
     spark: SparkSession = pages.sparkSession
     file = write_rules(rules)
@@ -124,19 +124,24 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
 
 
 def judge_by_join(rows: DataFrame, rules: Sequence[Rule] | DataFrame, default: str = "allow") -> DataFrame:
-    """judge() for rules beyond a worker's memory: the pages' keys meet a table (host, path, verdict) in a shuffle join."""
+    """judge() of rows (page_id, url) for rules beyond a worker's memory: the keys of distinct urls meet the table of rules in a shuffle join."""
     spark = rows.sparkSession
-    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
-    table = table.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "n long, host string, path string, verdict string")
+    rank = F.struct(F.col("n") if "n" in table.columns else F.lit(0), F.col("verdict"))
+    table = table.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(rank)["verdict"].alias("r_verdict"))
     lengths = [r[0] for r in table.select(F.length("r_path")).distinct().collect()]  # as many as paths have lengths
     rest = F.regexp_extract("url", r"^(?s:.*?)://([^?#]*)", 1)
     host = F.coalesce(F.translate(F.substring_index(rest, "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
-    own = rows.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), F.coalesce(F.regexp_extract(rest, r"^[^/]*((?s:.*))$", 1), F.lit("")).alias("path"))
+    path = F.coalesce(F.regexp_extract(rest, r"^[^/]*((?s:.*))$", 1), F.lit(""))
     labels = F.split("host", r"\.")
-    keys = own.select("row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("r_host"))
-    keys = keys.where("r_host <> ''").select("row", "r_host", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))).alias("n"), "path").select("row", "r_host", F.expr("substring(path, 1, n)").alias("r_path"))
-    best = keys.join(table, ["r_host", "r_path"]).groupBy("row").agg(F.max(F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("b"))
-    return own.join(best, "row", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    keys = rows.select("url").where("url IS NOT NULL").distinct().select("url", host.alias("host"), path.alias("path"))
+    keys = keys.select("url", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("r_host")).where("r_host <> ''")
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    keys = keys.select("url", "r_host", F.explode(F.transform(fits, lambda n: F.substring("path", F.lit(1), n))).alias("r_path"))
+    found = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
+    best = keys.join(table, ["r_host", "r_path"]).groupBy("url").agg(F.max(found).alias("b"))
+    out = rows.select("page_id", "url", host.alias("host"), path.alias("path")).join(best, "url", "left")
+    return out.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
 #: DuckDB SQL of judge() over pages with the query's five rules.

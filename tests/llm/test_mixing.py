@@ -14,7 +14,7 @@ def edf(weights):
     return out
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 9, "b": 1, "c": 1}, {"a": 3, "b": 5, "c": 7, "d": 2}, {f"s{k}": k % 4 + 1 for k in range(20)}])
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 9, "b": 1, "c": 1}, {"a": 3, "b": 5, "c": 7, "d": 2}, {f"s{k}": k % 4 + 1 for k in range(20)}, {f"x{k}": k * k % 23 + 1 for k in range(40)}])
 def test_schedule(spark, weights):
     rows = m.schedule(spark, weights).orderBy("at").collect()
     assert [(r["at"], r["source"], r["block"]) for r in rows] == edf(weights)
@@ -25,6 +25,18 @@ def test_schedule(spark, weights):
         assert all(abs(done[s] - (r["at"] + 1) * a / total) < 1 for s, a in weights.items())
 
 
+def test_many_sources(spark):
+    """A thousand sources of few weights, in some seconds."""
+    import time
+
+    weights = {f"s{k:04}": k % 4 + 1 for k in range(1000)}
+    began = time.time()
+    rows = m.schedule(spark, weights).orderBy("at").collect()
+    assert time.time() - began < 60
+    table = spark.createDataFrame(list(weights.items()), "source string, weight int")
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, m.long_schedule(table, sum(weights.values())).select(*rows[0].__fields__).collect()))
+
+
 def test_mix(spark):
     docs = [(k, "x" * (k * 37 % 90), "hot" if k % 3 else f"s{k % 4}", "clash") for k in range(600)] + [(None, None, None, "clash"), (7, "x" * 5000, "s1", "clash"), (7, "x" * 5000, "s1", "clash")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string, release string")

@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from sparkloom.llm import decontaminate, mixing, ngram_join, token_output
 from sparkloom.llm.common import materialize, table
-from sparkloom.llm.queries import TOKENIZERS, source_weights
+from sparkloom.llm.queries import TOKENIZER, source_weights
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def test_stages(spark):
     slots = {r.doc_id: r.mix_slot for r in mixing.mix(kept[3], source_weights(kept[3]), p.BLOCK_CHARS).collect()}
     got = p.write_tokens(spark, kept[4], SF).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted(slots, key=lambda i: (slots[i], i))
-    tokenizer, start = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json"), 0
+    tokenizer, start = Tokenizer.from_file(str(public_tokenizers.path(TOKENIZER))), 0
     texts = {r.doc_id: r.text for r in kept[4].collect()}
     for r in got:
         tokens = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
@@ -49,7 +50,7 @@ def test_empty_and_null(spark):
         for _, stage in p.STAGES[:-1]:
             docs = materialize(stage(spark, docs, SF))
         assert p.write_tokens(spark, docs, SF).count() == n
-    assert token_output.token_output(rows, f"{TOKENIZERS}/word_bpe_49k.json").count() == 3
+    assert token_output.token_output(rows, TOKENIZER).count() == 3
 
 
 def test_rows_are_judged_by_their_own_texts(spark, monkeypatch):

@@ -33,6 +33,19 @@ def test_judge(spark):
     assert u.judge(frame.limit(0), URL_RULES).count() == 0
 
 
+def test_both_ways_agree(spark, monkeypatch):
+    """Repeated rules, tables of rules, and rows in any order: the mapped file and the join give the same verdicts."""
+    rules = [("a.com", "/", "block"), ("a.com", "/", "allow"), ("b.a.com", "/x", "allow"), ("b.a.com", "/x", "block"), ("c.com", "", "block")]
+    urls = [f"http://{h}/{p}" for h in ("a.com", "b.a.com", "c.com", "d.com") for p in ("", "x", "xy", "y")] * 3 + [None, "none"]
+    frame = spark.createDataFrame([(k % 7, url) for k, url in enumerate(urls)], "page_id long, url string").repartition(5)
+    mapped = sorted(map(tuple, u.judge(frame, rules).collect()), key=str)
+    assert {r[4] for r in mapped if r[1] == "a.com"} == {"allow"} and {r[4] for r in mapped if r[1] == "b.a.com" and r[2].startswith("/x")} == {"block"}
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "n long, host string, path string, verdict string").repartition(3)
+    assert sorted(map(tuple, u.judge(frame, table).collect()), key=str) == mapped
+    monkeypatch.setattr(u, "MAX_MAPPED", 0)
+    assert sorted(map(tuple, u.judge(frame, rules).collect()), key=str) == mapped
+
+
 def test_collision(tmp_path, monkeypatch):
     """Two rules of one digest are told apart by their strings."""
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s: 7)

@@ -21,6 +21,41 @@ def test_article_is_chosen():
     assert read_page(f"<body><p>Elsewhere</p><article><p>{'Thirty days. ' * 40}</p></article></body>") == ("Thirty days. " * 40).strip()
 
 
+PROSE = "".join(f"<p>{'The window is thirty days, counted from delivery, and no longer. ' * 3}</p>" for _ in range(4))
+SAID = "The window is thirty days"
+
+
+@pytest.mark.parametrize("html, there, gone", [
+    # the paragraphs' parent wins over a list of links beside it, and over a sidebar that says more by name
+    (f"<body><div><a href=x>{'Other pages of ours ' * 4}</a></div><div class=content>{PROSE}</div></body>", [SAID], ["Other pages"]),
+    (f"<body><div class=content>{PROSE}</div><div class=sidebar><p>{'Follow us, like us, and share us. ' * 5}</p></div></body>", [SAID], ["Follow us"]),
+    # paragraphs and scored siblings of the winner belong to it
+    (f"<body><div><div class=story>{PROSE}</div><p>A last word stands here, on its own, and it is a long one, so that it counts as a part of it.</p></div></body>", [SAID, "A last word"], []),
+    (f"<body><div><div class=story>{PROSE}</div><div class=story>{PROSE.replace('window', 'second window')}</div></div></body>", [SAID, "The second window"], []),
+    # cards beside a short article: too much of the page would go, so the whole page is read
+    (f"<main><article>{PROSE[:260]}</p></article><section>{''.join(f'<div class=card><b>{k}</b> {chr(65 + k) * 30}</div>' for k in range(20))}</section></main>", [SAID, "T" * 30], []),
+    # a name that speaks against the article is forgiven where nothing else is left
+    (f"<body><div class=comment-like-footer>{PROSE}</div></body>", [SAID], []),
+    # nothing scores
+    ("<body><b>Short</b></body>", ["Short"], []),
+])
+def test_article_by_scores(html, there, gone):
+    got = read_page(html)
+    assert all(x in got for x in there) and not any(x in got for x in gone)
+
+
+def test_scores_by_hand():
+    """One paragraph of 120 characters and 2 commas is worth 5: whole to its parent, half to the next, a sixth and a ninth beyond."""
+    from sparkloom.functions import page
+
+    tree = page._Tree()
+    tree.feed("<body><section><main><div id=x><span><p>" + "a" * 118 + ",,</p></span></div></main></section></body>")
+    body = next(n for n in page._nodes(tree.root) if n.tag == "body")
+    scores = {n.tag: v for n, v in page._Scores(body, True, True).score.items()}
+    # the section is a paragraph of its own as well, for the body
+    assert scores == pytest.approx({"span": 5, "div": 5 + 2.5, "main": 5 / 6, "section": 5 / 9, "body": 5 / 12 + 5})
+
+
 @pytest.mark.parametrize(
     "html, text",
     [

@@ -13,6 +13,119 @@ def with_scheme(url: Column) -> Column:
     return F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), text).when(text != "", F.concat(F.lit("https://"), text))
 
 
+#: The parts of a reference, link elements with any quoting, parameters that only track, and what a url never shows as it is.
+REFERENCE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea|title)\b.*?(?:</(?:script|style|noscript|template|textarea|title)\s*>|\z)"
+ANCHOR = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*>"""
+HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+TRACKING = r"(?i)^(?:utm_|fbclid|gclid|ref(?:=|\z))"
+ESCAPES = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E"}
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments; a path of a closing . or .. keeps the slash before it."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?\z") & (F.size(kept) > 1), "/").when(F.size(kept) == 1, "/").otherwise(""))
+
+
+def resolved(reference: Column, base: Column) -> Column:
+    """The http or https url, without fragment, that a reference means on the page ``base``; null for any other scheme, a null reference or base, and what names no host.
+
+    Scheme and host are lower-cased, default ports and blanks around go, a back slash is a slash.
+    """
+    said = F.regexp_replace(F.regexp_replace(reference, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    said = F.concat(F.translate(F.regexp_extract(said, r"^[^?#]*", 0), "\\", "/"), F.regexp_extract(said, r"^[^?#]*(.*)", 1))
+    part = lambda url, k: F.regexp_extract(url, REFERENCE, k)
+    scheme = F.lower(part(said, 1))
+    own = (scheme != "") & ((scheme != F.lower(part(base, 1))) | F.regexp_like(said, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:/")))
+    relative = F.when(scheme != "", F.regexp_replace(said, r"^[^:]*:", "")).otherwise(said)
+    # http:path on an http page is relative; http:/x and http:///x name the host that follows
+    full = F.when(own, F.concat(scheme, F.lit("://"), F.regexp_replace(relative, "^/*", ""))).when(relative.startswith("//"), F.concat(F.lower(part(base, 1)), F.lit(":"), relative))
+    there = F.coalesce(full, base)
+    path = part(relative, 3)
+    near = F.concat(F.regexp_replace(part(base, 3), r"[^/]*\z", ""), path)
+    path = F.when(full.isNotNull(), part(full, 3)).when(path == "", part(base, 3)).when(path.startswith("/"), path).otherwise(near)
+    query = F.when(full.isNotNull(), part(full, 4)).when((part(relative, 3) == "") & (part(relative, 4) == ""), part(base, 4)).otherwise(part(relative, 4))
+    proto = F.lower(part(there, 1))
+    host = F.regexp_replace(F.lower(part(there, 2)), F.concat(F.when(proto == "http", r":(?:80)?").otherwise(r":(?:443)?"), F.lit(r"\z")), "")
+    path = F.when(path == "", F.lit("/")).otherwise(without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+    out = F.concat(proto, F.lit("://"), host, path, F.when(query == "?", "").otherwise(query))
+    for character, escape in ESCAPES.items():
+        out = F.replace(out, F.lit(character), F.lit(escape))
+    return F.when(proto.isin("http", "https") & (host != ""), out)
+
+
+def untracked(url: Column) -> Column:
+    """A url without its fragment and tracking parameters; one that has none keeps its query as it is."""
+    bare = F.substring_index(url, "#", 1)
+    params = F.split(F.regexp_extract(bare, r"\?(.*)", 1), "&")
+    kept = F.filter(params, lambda p: ~p.rlike(TRACKING))
+    query = F.array_join(F.filter(kept, lambda p: p != ""), "&")
+    return F.when(F.size(kept) == F.size(params), bare).otherwise(F.concat(F.substring_index(bare, "?", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def hrefs(html: Column) -> Column:
+    """The references of a page's links in page order, with character references decoded; comments and raw elements hold none."""
+    anchors = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), UNREAD, " "), F.lit(ANCHOR), F.lit(0))
+    named = F.filter(anchors, lambda x: x.rlike(HREF))
+    plain = lambda x: F.concat(*(F.regexp_extract(x, HREF, k) for k in (1, 2, 3)))
+
+    def decoded(x: Column) -> Column:
+        for entity, character in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(character))
+        return x
+
+    return F.transform(named, lambda x: decoded(plain(x)))
+
+
+def links(html: Column, url: Column) -> Column:
+    """Distinct urls that a page links to, in page order, without fragments and tracking parameters."""
+    return F.array_distinct(F.filter(F.transform(hrefs(html), lambda x: untracked(resolved(x, url))), lambda x: x.isNotNull()))
+
+
+#: Names of meta elements that state a title, in order of preference, and separators in a title (those of the second kind stand between levels of a site).
+TITLE_NAMES = "dc:title dcterm:title og:title weibo:article:title weibo:webpage:title title twitter:title".split()
+TITLE_SEPARATORS, TITLE_LEVELS = r"\|\-–—\\/>»", r"\\/>»"
+TITLE_LENGTH = 300
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content of the page's first meta element of that name or property, whatever the order and quoting of its attributes; null without one."""
+    elements = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+    mine = F.filter(elements, lambda x: x.rlike(rf"""(?is)\s(?:name|property)\s*=\s*["']?\s*{name}\s*(?:["'\s/>])"""))
+    content = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    first = F.get(mine, F.lit(0))
+    return F.when(F.size(mine) > 0, F.concat(*(F.regexp_extract(first, content, k) for k in (1, 2, 3))))
+
+
+def _words(text: Column) -> Column:
+    return F.size(F.split(F.trim(text), r"\s+"))
+
+
+def shown_title(title: Column) -> Column:
+    """The part of a <title> that names the page: without the site's name after the last separator, unless too little is left of it."""
+    squeezed = F.trim(F.regexp_replace(title, r"\s+", " "))
+    parted = squeezed.rlike(rf" [{TITLE_SEPARATORS}] ")
+    before = F.regexp_replace(squeezed, rf"^(.*)[{TITLE_SEPARATORS}] .*$", "$1")
+    after = F.regexp_replace(squeezed, rf"^[^{TITLE_SEPARATORS}]*[{TITLE_SEPARATORS}](.*)$", "$1")
+    colon = F.contains(squeezed, F.lit(": "))
+    last, rest = F.substring_index(squeezed, ":", -1), F.regexp_replace(squeezed, r"^[^:]*:", "")
+    named = F.when(_words(last) >= 3, last).when(_words(F.substring_index(squeezed, ":", 1)) > 5, squeezed).otherwise(rest)
+    cut = F.trim(F.when(parted, F.when(_words(before) < 3, after).otherwise(before)).when(colon, named).otherwise(squeezed))
+    levels = squeezed.rlike(rf" [{TITLE_LEVELS}] ")
+    plain = F.regexp_replace(squeezed, rf"[{TITLE_SEPARATORS}]+", "")
+    return F.when((_words(cut) <= 4) & (~levels | (_words(cut) != _words(plain) - 1)), squeezed).otherwise(cut)
+
+
+def title(html: Column, url: Column) -> Column:
+    """A page's title: that of its meta elements, of <title>, or the path of its url; TITLE_LENGTH characters at most."""
+    filled = lambda x: F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+    own = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    path = F.coalesce(F.nullif(F.regexp_extract(url, REFERENCE, 3), F.lit("")), F.lit("/"))
+    return F.substring(F.coalesce(*(filled(meta(html, n)) for n in TITLE_NAMES), filled(shown_title(own)), path), 1, TITLE_LENGTH)
+
+
 def host_allowed(host: Column, domains: list[str]) -> Column:
     """Whether a host is one of the domains, or below one written as *.domain."""
     low = F.lower(host)

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import stem, text as x, vectors as v
+from ..functions import stem, text as x, vectors as v, web as w
 from ..operators.keywords import keyword_hits
 from .conversations import DISTINCT, TOKENS, _LIST
 from .registry import Registry, Sql, Tables
@@ -28,31 +28,48 @@ GATE = 0.30
 BLOCK = 4096
 
 
-@R.add(r"""
-SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
-       CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS links,
-       regexp_matches(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '(?i)^(?:404(?:\s+error)?|not found|page not found)(?:\s*[|—–-]|$)') AS soft_404,
+_META = lambda name: rf"""regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda m: regexp_matches(m, '(?is)\s(?:name|property)\s*=\s*["'']?\s*{name}\s*(?:["''\s/>])'))[1], '(?is)\scontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c'])"""
+_FILLED = lambda x: f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+_WORDS = lambda x: f"len(regexp_split_to_array(trim({x}), '\\s+'))"
+_METAS = ", ".join(_FILLED(f"(m{k}.a || m{k}.b || m{k}.c)") for k, _ in enumerate(w.TITLE_NAMES))
+
+
+@R.add(rf"""
+WITH m AS (SELECT *, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t, {', '.join(f"{_META(n)} AS m{k}" for k, n in enumerate(w.TITLE_NAMES))} FROM pages),
+s AS (SELECT *, regexp_replace(t, '^(.*)[{w.TITLE_SEPARATORS}] .*$', '\1') AS b4, regexp_replace(t, '^[^{w.TITLE_SEPARATORS}]*[{w.TITLE_SEPARATORS}](.*)$', '\1') AS af FROM m),
+c AS (SELECT *, trim(CASE WHEN regexp_matches(t, ' [{w.TITLE_SEPARATORS}] ') THEN CASE WHEN {_WORDS('b4')} < 3 THEN af ELSE b4 END
+  WHEN contains(t, ': ') THEN CASE WHEN {_WORDS("split_part(t, ':', -1)")} >= 3 THEN split_part(t, ':', -1) WHEN {_WORDS("split_part(t, ':', 1)")} > 5 THEN t ELSE regexp_replace(t, '^[^:]*:', '') END ELSE t END) AS cut FROM s),
+n AS (SELECT *, CASE WHEN {_WORDS('cut')} <= 4 AND (NOT regexp_matches(t, ' [{w.TITLE_LEVELS}] ') OR {_WORDS('cut')} <> {_WORDS(f"regexp_replace(t, '[{w.TITLE_SEPARATORS}]+', '', 'g')")} - 1) THEN t ELSE cut END AS shown,
+  {_FILLED('(m2.a || m2.b || m2.c)')} AS og FROM c)
+SELECT page_id, left(coalesce({_METAS}, nullif(shown, ''), nullif(regexp_extract(url, '{w.REFERENCE}', 3), ''), '/'), {w.TITLE_LENGTH}) AS title,
+       regexp_matches(coalesce(og, t), '(?i)^(?:404(?:\s+error)?|not found|page not found)(?:\s*[|—–-]|$)') AS soft_404,
        length(html) > 2000 AND regexp_matches(html, '(?i)id="(?:root|app|__next)"') AS needs_script
-FROM pages
-""")
+FROM n
+""".replace(r"\z", "$"))
 def page_titles(t: Tables) -> DataFrame:
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    return t("pages").select(
-        "page_id", title.alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), title.rlike("(?i)" + x.NOT_FOUND).alias("soft_404"),
-        ((F.length("html") > 2000) & F.col("html").rlike('(?i)id="(?:root|app|__next)"')).alias("needs_script"),
-    )
+    """Title by meta elements, <title> or path; whether it, or og:title before it, says that there is no page; whether a script makes the page."""
+    own = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    og = F.nullif(F.trim(F.regexp_replace(w.meta(F.col("html"), "og:title"), r"\s+", " ")), F.lit(""))
+    script = (F.length("html") > 2000) & F.col("html").rlike('(?i)id="(?:root|app|__next)"')
+    return t("pages").select("page_id", w.title(F.col("html"), F.col("url")).alias("title"), F.coalesce(og, own).rlike("(?i)" + x.NOT_FOUND).alias("soft_404"), script.alias("needs_script"))
 
 
 @R.add(r"""
-WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-a AS (SELECT page_id, regexp_replace(CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(url, '^[a-z]+://[^/]+', 0) || href END, '#.*', '') AS link FROM l WHERE starts_with(href, 'http') OR starts_with(href, '/'))
-SELECT DISTINCT page_id, link FROM a
+WITH h AS (SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS base, split_part(url, '#', 1) AS whole,
+  unnest(list_filter(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<(?:script|style|noscript|template|textarea|title)\b.*?</(?:script|style|noscript|template|textarea|title)\s*>', ' ', 'g'), '(?is)<a\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda a: regexp_matches(a, '(?is)\shref\s*='))) AS a FROM pages),
+r AS (SELECT page_id, base, whole, replace(split_part(regexp_extract(a, '(?is)\shref\s*=\s*"([^"]*)"', 1) || regexp_extract(a, '(?is)\shref\s*=\s*''([^'']*)''', 1) || regexp_extract(a, '(?is)\shref\s*=\s*([^\s"''>]+)', 1), '#', 1), '&amp;', '&') AS ref FROM h),
+j AS (SELECT page_id, CASE WHEN regexp_matches(ref, '(?i)^https?://') THEN ref WHEN starts_with(ref, '//') THEN regexp_extract(base, '^[a-z]+:', 0) || ref WHEN starts_with(ref, '/') THEN regexp_extract(base, '^[a-z]+://[^/]+', 0) || ref
+  WHEN ref = '' THEN whole WHEN starts_with(ref, '?') THEN base || ref ELSE regexp_replace(CASE WHEN regexp_matches(base, '^[a-z]+://[^/]+$') THEN base || '/' ELSE base END, '[^/]*$', '') || ref END AS link FROM r WHERE NOT regexp_matches(ref, '(?i)^(?:[a-z][a-z0-9+.-]*):') OR regexp_matches(ref, '(?i)^https?://')),
+k AS (SELECT page_id, lower(regexp_extract(link, '(?i)^[a-z]+://[^/?]*', 0)) AS site, split_part(regexp_replace(link, '(?i)^[a-z]+://[^/?]*', ''), '?', 1) AS path, string_split(regexp_extract(link, '\?(.*)', 1), '&') AS q FROM j),
+d AS (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/'), lambda s: [s])), lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, s) END) AS seg FROM k),
+u AS (SELECT page_id, site || array_to_string(seg, '/') || CASE WHEN len(seg) = 1 OR regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END AS address, list_filter(q, lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(?:utm_|fbclid|gclid|ref(?:=|$))')) AS kept FROM d)
+SELECT DISTINCT page_id, replace(address || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, ' ', '%20') AS link FROM u
 """)
 def page_links(t: Tables) -> DataFrame:
-    rows = t("pages").select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("href"))
-    rows = rows.where(F.col("href").startswith("http") | F.col("href").startswith("/"))
-    full = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), "href"))
-    return rows.select("page_id", F.regexp_replace(full, "#.*", "").alias("link")).distinct()
+    # one reference a row: as columns of a row, parts that are used twice are made once
+    rows = t("pages").select("page_id", "url", F.explode(w.hrefs(F.col("html"))).alias("reference"))
+    rows = rows.withColumn("link", w.resolved(F.col("reference"), F.col("url"))).where("link IS NOT NULL")
+    return rows.select("page_id", w.untracked(F.col("link")).alias("link")).distinct()
 
 
 def clean_url(url: Column) -> Column:

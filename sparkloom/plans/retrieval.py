@@ -298,7 +298,16 @@ def fused(ranked: DataFrame) -> DataFrame:
 
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = HITS) -> DataFrame:
     """Each question's best chunks with their place, and rank_score and confidence in millionths."""
-    asked, ranked = legs(questions, chunks)
+    return found_chunks(questions, chunks, limit).select("item_id", "place", "doc_id", "position", "rank_score", "confidence")
+
+
+def found_chunks(questions: DataFrame, chunks: DataFrame, limit: int = HITS) -> DataFrame:
+    """retrieve() with title, content, vec, kw and title_score (the share of the question's terms in the title)."""
+    return ranked_chunks(*legs(questions, chunks), chunks).where(F.col("place") <= limit)
+
+
+def ranked_chunks(asked: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All chunks of the lists in their final order, for questions with their terms and the lists of legs()."""
     rows = fused(ranked).join(chunks.select(*KEYS, "title", "content"), KEYS).join(F.broadcast(asked.select("item_id", "terms")) if asked.count() <= 100_000 else asked.select("item_id", "terms"), "item_id")
     same = Window.partitionBy("item_id", "doc_id", F.md5(x.squeeze(F.col("content")))).orderBy(F.desc("rrf"), "position")
     rows = rows.withColumn("copy", F.row_number().over(same)).where("copy = 1")
@@ -308,7 +317,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = HITS) -> Data
     sure = F.col("vec") * 0.4 + F.greatest(F.lit(0.0), F.least(F.col("kw"), F.lit(0.8))) * 0.22 + F.col("lex") * 0.2 + F.col("ttl") * 0.35
     rows = rows.withColumn("rank_score", scaled(score, 6)).withColumn("confidence", scaled(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 6))
     w = Window.partitionBy("item_id").orderBy(F.desc("rank_score"), F.desc("rrf"), *KEYS)
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("item_id", F.col("place").cast("long").alias("place"), "doc_id", F.col("position").cast("long").alias("position"), "rank_score", "confidence")
+    return rows.withColumn("place", F.row_number().over(w)).select("item_id", F.col("place").cast("long").alias("place"), "doc_id", F.col("position").cast("long").alias("position"), "rank_score", "confidence", "title", "content", "vec", "kw", F.col("ttl").alias("title_score"))
 
 
 WORDS = Sql(r"regexp_extract_all(lower({0}), '[\p{L}\p{N}]+')")
@@ -348,25 +357,30 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return chunks.select("*", x.tokens(F.col("content"), 1).alias("words"), x.tokens(F.col("title"), 1).alias("title_words"), noise.alias("noise"))
 
 
-def _stored(t: Tables) -> DataFrame:
+def asked_sql(sql: str, questions: str) -> str:
+    """LEG_SQL or HIT_SQL for the questions (item_id, text) of another query instead of those of the benchmark."""
+    return f"questions AS ({questions}), {sql.replace('FROM benchmark)', 'FROM questions)')}"
+
+
+def stored(t: Tables) -> DataFrame:
     """The index of all documents, written once: the legs and the hits read it from the shared checkpoint folder, where there is one."""
     chunks = indexed(chunked(t("documents")))
     return chunks.checkpoint() if chunks.sparkSession.conf.get("spark.checkpoint.dir", None) else chunks
 
 
 def _found(t: Tables, limit: int = HITS) -> DataFrame:
-    return retrieve(t("benchmark"), _stored(t), limit)
+    return retrieve(t("benchmark"), stored(t), limit)
 
 
 @R.add(f"WITH {LEG_SQL} SELECT item_id, doc_id, CAST(position AS BIGINT) AS position, leg, CAST(floor(score * 10000 + 0.001) AS BIGINT) AS score, CAST(place AS BIGINT) AS place FROM ranked")
 def ranked_legs(t: Tables) -> DataFrame:
-    rows = legs(t("benchmark"), _stored(t))[1]
+    rows = legs(t("benchmark"), stored(t))[1]
     return rows.select("item_id", "doc_id", F.col("position").cast("long").alias("position"), "leg", scaled(F.col("score"), 4).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @R.add(f"WITH {LEG_SQL} SELECT item_id, doc_id, CAST(position AS BIGINT) AS position, CAST(floor(vec * 10000 + 0.001) AS BIGINT) AS vec, CAST(floor(kw * 10000 + 0.001) AS BIGINT) AS kw, CAST(floor(rrf * 1000000 + 0.001) AS BIGINT) AS rrf FROM fused")
 def rrf_fusion(t: Tables) -> DataFrame:
-    rows = fused(legs(t("benchmark"), _stored(t))[1])
+    rows = fused(legs(t("benchmark"), stored(t))[1])
     return rows.select("item_id", "doc_id", F.col("position").cast("long").alias("position"), scaled(F.col("vec"), 4).alias("vec"), scaled(F.col("kw"), 4).alias("kw"), scaled(F.col("rrf"), 6).alias("rrf"))
 
 

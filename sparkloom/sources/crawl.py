@@ -95,3 +95,51 @@ def reachable(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+#: Addresses queued for each page that may be indexed, and characters of a page that is not thin.
+QUEUED, THIN = 8, 120
+ORDER = "root string, nth long, url string, outcome string"
+
+
+def crawl_order(pages: DataFrame, roots: DataFrame, limit: int, include: list[str] = [], exclude: list[str] = []) -> DataFrame:
+    """root, nth (from 1), url and outcome of every address that a crawl of each root takes from its queue, in its order.
+
+    pages (url, text, links: urls in page order) are what fetching gives; roots (root, disallow: the path prefixes that robots.txt forbids).
+    The queue is first in, first out: a page's links of the root's origin that path rules and robots allow are queued in page order, once each, QUEUED x limit at most.
+    The crawl stops with its ``limit``-th indexed page. An outcome is indexed, thin, duplicate (of the text of a page indexed before) or failed (not fetched).
+
+    One round takes a whole level of the queue: its order is the parent's number, then the place of the link. Numbers are counted within a root, which the cap
+    bounds; a round is cut off by a checkpoint in the shared folder, and only its emptiness comes to the driver.
+    """
+    _shared(pages.sparkSession)
+    path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))
+    fetched = pages.select("url", F.length("text").alias("n"), F.sha2("text", 256).alias("hash"), "links")
+    rules = roots.select("root", F.coalesce("disallow", F.array().cast("array<string>")).alias("disallow"))
+    queue = roots.select("root", F.col("root").alias("url"), F.lit(1).cast("long").alias("nth")).distinct().checkpoint()
+    seen, done, hashes = queue, None, queue.select("root", F.lit("").alias("hash")).limit(0)
+    indexed = queue.select("root", F.lit(0).cast("long").alias("before"))
+    by = Window.partitionBy("root").orderBy("nth")
+    while not queue.isEmpty():
+        level = queue.join(fetched, "url", "left").withColumn("known", F.col("n").isNotNull()).withColumn("fit", F.coalesce(F.col("n") >= THIN, F.lit(False)))
+        old = hashes.withColumn("old", F.lit(True))
+        level = level.join(old, ["root", "hash"], "left")
+        first = F.min(F.when(F.col("fit") & F.col("old").isNull(), F.col("nth"))).over(Window.partitionBy("root", "hash"))
+        level = level.withColumn("new", F.coalesce(F.col("fit") & F.col("old").isNull() & (F.col("nth") == first), F.lit(False)))
+        level = level.join(indexed, "root").withColumn("count", F.col("before") + F.sum(F.col("new").cast("long")).over(by) - F.col("new").cast("long")).where(F.col("count") < limit).drop("before")
+        level = level.checkpoint()
+        outcome = F.when(~F.col("known"), "failed").when(F.col("new"), "indexed").when(~F.col("fit"), "thin").otherwise("duplicate")
+        told = level.select("root", "nth", "url", outcome.alias("outcome"))
+        done = told if done is None else done.unionByName(told)
+        hashes = hashes.unionByName(level.where("new").select("root", "hash"))
+        indexed = done.groupBy("root").agg(F.count_if(F.col("outcome") == "indexed").alias("before"))
+        links = level.where("known").select("root", "nth", F.posexplode("links").alias("at", "url")).join(rules, "root")
+        fits = (origin(F.col("url")) == origin(F.col("root"))) & allowed(path, include, exclude) & ~F.exists("disallow", lambda p: F.startswith(path, p))
+        fresh = links.where(fits).groupBy("root", "url").agg(F.min(F.struct("nth", "at")).alias("place")).join(seen.select("root", "url"), ["root", "url"], "left_anti")
+        count = seen.groupBy("root").agg(F.count("*").alias("queued"))
+        number = F.col("queued") + F.row_number().over(Window.partitionBy("root").orderBy("place"))
+        queue = fresh.join(count, "root").select("root", "url", number.alias("nth")).where(F.col("nth") <= QUEUED * limit)
+        full = indexed.where(F.col("before") >= limit).select("root")
+        queue = queue.join(full, "root", "left_anti").checkpoint()
+        seen = seen.unionByName(queue)
+    return done if done is not None else pages.sparkSession.createDataFrame([], ORDER)

@@ -47,25 +47,26 @@ def requested_lists(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", "k", a.requested_list(asked).alias("wanted"))
 
 
-_TITLES = "CASE page_id % 6 WHEN 0 THEN 'Contact us - Site' WHEN 1 THEN ' Support | Site' WHEN 2 THEN 'About us' WHEN 3 THEN 'Non-contact sports' WHEN 4 THEN 'Our FAQ' ELSE 'Home' END"
-_PATHS = "CASE page_id % 5 WHEN 0 THEN '/en/contact' WHEN 1 THEN '/help/' WHEN 2 THEN '/about-us' WHEN 3 THEN '/contacts' ELSE '/' END"
+_PAGE_NAMES = f"page_names AS ({retrieval.R.sql['page_titles']})"
 
 
 @R.add(rf"""
-WITH p AS (SELECT page_id, {_TITLES} AS title, {_PATHS} AS path FROM pages)
+WITH {_PAGE_NAMES}, p AS (SELECT page_id, title, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages JOIN page_names USING (page_id))
 SELECT page_id, CASE WHEN regexp_matches(title, '(?i){a.NO_CONTACT}') THEN -10 {' '.join(f"WHEN regexp_matches(path, '(?i){p}') OR regexp_matches(trim(title), '(?i){n}') THEN {s}" for s, p, n in a.CONTACT_PAGES)} ELSE -10 END AS score FROM p
-""")
+""".replace(r"\z", "$"))
 def contact_pages(t: Tables) -> DataFrame:
-    return t("pages").select("page_id", a.contact_score(F.expr(_TITLES), F.expr(_PATHS)).alias("score"))
+    """How likely each page is one to get in touch, by its title and path."""
+    path = F.coalesce(F.nullif(F.regexp_extract("url", web.REFERENCE, 3), F.lit("")), F.lit("/"))
+    return t("pages").select("page_id", a.contact_score(web.title(F.col("html"), F.col("url")), path).alias("score"))
 
 
-@R.add("""
-WITH p AS (SELECT page_id, 'A &amp;amp; B &lt;' || substr(url, 1, 12) || '&gt; &nbsp;it&#39;s &unknown; ' AS text FROM pages)
-SELECT page_id, replace(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS text, substr(url, 1, 5) AS untouched FROM p JOIN pages USING (page_id)
+@R.add(f"""
+WITH p AS (SELECT page_id, trim({retrieval.TEXT}) AS text FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM p
 """)
 def residual_entities(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("A &amp;amp; B &lt;"), F.substring("url", 1, 12), F.lit("&gt; &nbsp;it&#39;s &unknown; "))
-    return t("pages").select("page_id", a.decode_residual(text).alias("text"), a.decode_residual(F.substring("url", 1, 5)).alias("untouched"))
+    """The text of each page with the entities decoded that reading it has left."""
+    return t("pages").select("page_id", a.decode_residual(retrieval.page_text(F.col("html"))).alias("text"))
 
 
 def best_citation(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
@@ -198,43 +199,49 @@ def clock_labels(t: Tables) -> DataFrame:
     return rows.select("c_custkey", clock.alias("clock"), web.minutes(clock).alias("minutes"), web.like_pattern(F.col("q")).alias("pattern"))
 
 
-#: Questions, one of each kind, over the pages as their hits: twenty pages a question, two of one document.
-_KINDS = ["'List all pages please'", "'Anything similar to ' || text", "'Please show me three projects on ' || text", "'give me 9 articles on ' || text", "'Tell me of this: ' || text"]
-_PAGE_TITLE = "CASE page_id % 6 WHEN 1 THEN 'All projects' WHEN 4 THEN 'Archives of ' || page_id ELSE 'Page ' || page_id END"
-_PAGE_TEXT = "CASE page_id % 3 WHEN 0 THEN 'id: 7' || chr(10) || '_smart_summary: About  page ' || page_id || '. More here.' WHEN 1 THEN '' ELSE 'No stop title: in ' || url END"
+#: Questions, one of each kind, on the title of every tenth page, and the hits that retrieval finds for them in the pages' texts.
+ASKING, FOUND = 10, 20
+_KINDS = ["'List all pages please: ' || title", "'Anything similar to ' || title", "'Please show me three projects on ' || title", "'give me 9 articles on ' || title", "'Tell me of this: ' || title"]
 _WANTED = f"""CASE WHEN regexp_matches(question, '(?i){a.LIST_OF}') THEN coalesce(CAST(nullif(regexp_extract(question, '(?i){a.LIST_NUMBER}', 1), '') AS INT),
   CASE lower(regexp_extract(question, '(?i){a.LIST_WORD}', 1)) {' '.join(f"WHEN '{w}' THEN {n}" for w, n in a.LIST_WORDS.items())} END) END"""
-_HITS = rf"""q AS (SELECT item_id * {len(_KINDS)} + k AS item_id, item_id AS held, CASE k {' '.join(f'WHEN {k} THEN {q}' for k, q in enumerate(_KINDS))} END AS question FROM benchmark, (SELECT unnest(range({len(_KINDS)})) AS k)),
-h0 AS (SELECT item_id, question, page_id % 20 + 1 AS place, page_id // 2 AS doc_id, {_PAGE_TITLE} AS title, nullif(url, CASE WHEN page_id % 7 = 0 THEN url END) AS url, (held + item_id) % 3 / 4.0 AS title_score, {_PAGE_TEXT} AS content, page_id,
-  list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda z: z <> '') AS seg FROM q JOIN pages ON page_id // 20 = held),
-hits AS (SELECT *, {_SPEC} - CASE WHEN regexp_matches(title, '(?i){a.GENERIC_TITLE}') THEN 4 ELSE 0 END AS spec, {_WANTED} AS wanted FROM h0)"""
+_KIND = "CASE k " + " ".join(f"WHEN {k} THEN {q}" for k, q in enumerate(_KINDS)) + " END"
+_ASKING = f"SELECT page_id * {len(_KINDS)} + k AS item_id, {_KIND} AS text FROM page_names, (SELECT unnest(range({len(_KINDS)})) AS k) WHERE page_id % {ASKING} = 0"
+_PAGE_RANKS = f"""{_PAGE_NAMES}, page_docs AS (SELECT page_id AS doc_id, title || chr(10) || trim({retrieval.TEXT}) AS text FROM pages JOIN page_names USING (page_id)),
+{retrieval.asked_sql(retrieval.HIT_SQL, _ASKING).replace('FROM documents', 'FROM page_docs')}"""
+_HITS = rf"""{_PAGE_RANKS},
+page_ranks AS (SELECT ranks.item_id, questions.text AS question, place, doc_id, position, title, url, ttl AS title_score, content, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda z: z <> '') AS seg
+  FROM ranks JOIN questions ON questions.item_id = ranks.item_id JOIN pages ON page_id = doc_id WHERE place <= {FOUND}),
+page_hits AS (SELECT *, {_SPEC} - CASE WHEN regexp_matches(title, '(?i){a.GENERIC_TITLE}') THEN 4 ELSE 0 END AS spec, {_WANTED} AS wanted FROM page_ranks)"""
+
+
+def page_index(t: Tables) -> DataFrame:
+    """The index of all pages: chunks of title and text, written once where there is a shared folder."""
+    title = web.title(F.col("html"), F.col("url"))
+    docs = t("pages").select(F.col("page_id").alias("doc_id"), F.concat(title, F.lit("\n"), retrieval.page_text(F.col("html"))).alias("text"))
+    return retrieval.stored(lambda _: docs)
 
 
 def _page_hits(t: Tables) -> DataFrame:
     n = len(_KINDS)
-    q = t("benchmark").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    question = F.expr("CASE k " + " ".join(f"WHEN {k} THEN {kind}" for k, kind in enumerate(_KINDS)) + " END")
-    q = q.select((F.col("item_id") * n + F.col("k")).alias("item_id"), F.col("item_id").alias("held"), question.alias("question"))
-    page = t("pages").select(
-        F.expr("page_id div 20").alias("held"), (F.col("page_id") % 20 + 1).alias("place"), F.expr("page_id div 2").alias("doc_id"), F.expr(_PAGE_TITLE).alias("title"),
-        F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"), F.expr(_PAGE_TEXT).alias("content"), "page_id",
-    )
-    return q.join(page, "held").withColumn("title_score", (F.col("held") + F.col("item_id")) % 3 / 4.0)
+    named = t("pages").where(F.col("page_id") % ASKING == 0).select("page_id", web.title(F.col("html"), F.col("url")).alias("title"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    asked = named.select((F.col("page_id") * n + F.col("k")).alias("item_id"), F.expr(_KIND).alias("text"))
+    found = retrieval.found_chunks(asked, page_index(t), FOUND).join(asked.withColumnRenamed("text", "question"), "item_id")
+    return found.join(t("pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
 
 
 @R.add(rf"""
-WITH {_HITS}, b AS (SELECT item_id, arg_min(doc_id, place) AS best, arg_min(title_score, place) AS score FROM hits GROUP BY ALL),
-m AS (SELECT h.*, best, CASE WHEN {_any('question', x.OVERVIEW)} THEN 'overview' WHEN {_rlike('question', x.RELATED)} OR wanted IS NOT NULL THEN 'several' WHEN score >= 0.5 THEN 'one' ELSE 'first' END AS mode FROM hits h JOIN b USING (item_id)),
+WITH {_HITS}, b_ AS (SELECT item_id, arg_min(doc_id, place) AS best, arg_min(title_score, place) AS score FROM page_hits GROUP BY ALL),
+m AS (SELECT h.*, best, CASE WHEN {_any('question', x.OVERVIEW)} THEN 'overview' WHEN {_rlike('question', x.RELATED)} OR wanted IS NOT NULL THEN 'several' WHEN score >= 0.5 THEN 'one' ELSE 'first' END AS mode FROM page_hits h JOIN b_ USING (item_id)),
 f AS (SELECT *, mode <> 'several' OR url IS NULL OR spec > 0 AS fits FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id, fits ORDER BY place) AS nth FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS again FROM n WHERE CASE mode WHEN 'one' THEN doc_id = best WHEN 'first' THEN TRUE ELSE fits AND nth = 1 END)
-SELECT item_id, CAST(again AS BIGINT) AS place, page_id FROM k WHERE again <= CASE mode WHEN 'overview' THEN 14 ELSE 5 END
+SELECT item_id, CAST(again AS BIGINT) AS place, doc_id AS page_id, CAST(position AS BIGINT) AS position FROM k WHERE again <= CASE mode WHEN 'overview' THEN 14 ELSE 5 END
 """)
 def evidence_selection(t: Tables) -> DataFrame:
-    return answers.coherent(_page_hits(t)).select("item_id", "place", "page_id")
+    return answers.coherent(_page_hits(t)).select("item_id", "place", F.col("doc_id").alias("page_id"), "position")
 
 
 @R.add(rf"""
-WITH {_HITS}, w AS (SELECT * FROM hits WHERE wanted IS NOT NULL AND url <> '' AND spec > 0),
+WITH {_HITS}, w AS (SELECT * FROM page_hits WHERE wanted IS NOT NULL AND url <> '' AND spec > 0),
 d AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY place) AS nth FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS k FROM d WHERE nth = 1),
 c AS (SELECT *, trim(regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(content, '\r?\n'), lambda z: NOT regexp_matches(z, '(?i){a.FRONT_LINE}')), ' '), '(?i){a.SUMMARY}', ''), '\s+', ' ', 'g')) AS body FROM k WHERE k <= wanted),
 s AS (SELECT *, substr(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(body, '[^.!?]+[.!?]+|[^.!?]+$'), ''), body), '(?i){a.FRONT_NAME}', ' ', 'g'), '\s+', ' ', 'g')), 1, {a.DESCRIPTION}) AS about FROM c),

@@ -74,7 +74,7 @@ def best_citation(rows: DataFrame, keys: list[str], content: Column) -> DataFram
 
     A citation without a specific address does not count, nor in the places of those after it; ties go to the first.
     """
-    spec = x.url_specificity(F.col("url"))
+    spec = a.source_specificity(F.col("url"), F.col("title"))
     rows = rows.withColumn("spec", spec).where((F.col("spec") > 0) & F.col("url").isNotNull())
     said, held = F.array_distinct(x.tokens(content)), F.array_distinct(x.tokens(F.concat_ws(" ", "title", "excerpt")))
     overlap = F.size(F.array_intersect(said, held)) / F.greatest(F.lit(1), F.size(said))
@@ -90,22 +90,6 @@ _SPEC = r"""CASE WHEN len(seg) = 0 THEN -10 ELSE len(seg) + CASE WHEN length(seg
   - CASE WHEN len(list_filter(seg, lambda z: regexp_matches(z, '(?i)^(?:category|categories|tag|tags|search|author|page|blog|articles|posts|project|projects|archive|archives)$'))) > 0 THEN 4 ELSE 0 END END"""
 
 
-@R.add(rf"""
-WITH s AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda z: z <> '') AS seg,
-  regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, substr(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), 1, 200) AS excerpt FROM pages),
-c AS (SELECT item_id, text, page_id, url, {_SPEC} AS spec, title || ' ' || excerpt AS ev FROM benchmark JOIN s ON page_id // 4 = item_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY page_id) - 1 AS i, list_distinct({TOKENS.format('text')}) AS a, list_distinct({TOKENS.format('ev')}) AS b FROM c WHERE spec > 0),
-r AS (SELECT item_id, url, i, round(len(list_intersect(a, b)) / greatest(1, len(a)) * 4 + spec * 0.25 - i * 0.08, 6) AS score FROM k)
-SELECT item_id, url, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS n FROM r) WHERE n = 1
-""")
-def contextual_citations(t: Tables) -> DataFrame:
-    page = t("pages").select(
-        F.expr("page_id div 4").alias("item_id"), F.col("page_id").alias("place"), "url",
-        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.substring(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1), 1, 200).alias("excerpt"),
-    )
-    return best_citation(page.join(t("benchmark").select("item_id", "text"), "item_id"), ["item_id"], F.col("text"))
-
-
 def evaluation(cases: DataFrame) -> DataFrame:
     """Recall, reciprocal rank, abstention and misses of cases with rank (0: missed), abstained and unanswerable.
 
@@ -229,6 +213,37 @@ def _page_hits(t: Tables) -> DataFrame:
     return found.join(t("pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
 
 
+#: Pages that an answer cites at most, and characters of each that it shows.
+CITED, SHOWN = 4, 260
+_SAID = """said AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS before, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER w AS answer, role
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_CITED_RANKS = _PAGE_RANKS.replace(_ASKING, "SELECT DISTINCT md5(before) AS item_id, before AS text FROM said WHERE role = 'user' AND before IS NOT NULL AND answer IS NOT NULL")
+
+
+@R.add(rf"""
+WITH {_SAID}, {_CITED_RANKS},
+d1 AS (SELECT item_id, doc_id, min(place) AS place FROM ranks WHERE place <= {retrieval.HITS} GROUP BY ALL), d2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) - 1 AS nth FROM d1),
+ct AS (SELECT conv_id, turn, answer, url, nth, title, title || ' ' || left(content, {SHOWN}) AS ev, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda z: z <> '') AS seg
+  FROM said JOIN d2 ON item_id = md5(before) JOIN ranks r ON r.item_id = d2.item_id AND r.place = d2.place JOIN pages ON page_id = d2.doc_id WHERE role = 'user' AND answer IS NOT NULL AND nth < {CITED}),
+cs AS (SELECT *, {_SPEC} - CASE WHEN regexp_matches(title, '(?i){a.GENERIC_TITLE}') THEN 4 ELSE 0 END AS spec FROM ct),
+ck AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY nth) - 1 AS i, list_distinct({TOKENS.format('answer')}) AS a, list_distinct({TOKENS.format('ev')}) AS b FROM cs WHERE spec > 0),
+cr AS (SELECT conv_id, turn, url, i, round(len(list_intersect(a, b)) / greatest(1, len(a)) * 4 + spec * 0.25 - i * 0.08, 6) AS score FROM ck)
+SELECT conv_id, turn, url, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, i) AS n FROM cr) WHERE n = 1
+""")
+def contextual_citations(t: Tables) -> DataFrame:
+    """The page that each user's turn may mean by "that article": of those that the last answer before it cites, the one that fits what was said best."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda role: F.last(F.when(F.col("role") == role, F.col("text")), ignorenulls=True).over(w)
+    said = t("conversations").select("conv_id", "turn", "role", last("user").alias("before"), last("assistant").alias("answer"))
+    said = said.where("role = 'user' AND before IS NOT NULL AND answer IS NOT NULL").withColumn("item_id", F.md5("before"))
+    asked = said.select("item_id", F.col("before").alias("text")).distinct()
+    hits = retrieval.found_chunks(asked, page_index(t)).groupBy("item_id", "doc_id").agg(F.min(F.struct("place", "title", "content")).alias("h"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("h.place")) - 1
+    cited = hits.select("item_id", "doc_id", nth.alias("place"), F.col("h.title").alias("title"), F.left("h.content", F.lit(SHOWN)).alias("excerpt")).where(F.col("place") < CITED)
+    cited = cited.join(t("pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    return best_citation(said.join(cited, "item_id"), ["conv_id", "turn"], F.col("answer"))
+
+
 @R.add(rf"""
 WITH {_HITS}, b_ AS (SELECT item_id, arg_min(doc_id, place) AS best, arg_min(title_score, place) AS score FROM page_hits GROUP BY ALL),
 m AS (SELECT h.*, best, CASE WHEN {_any('question', x.OVERVIEW)} THEN 'overview' WHEN {_rlike('question', x.RELATED)} OR wanted IS NOT NULL THEN 'several' WHEN score >= 0.5 THEN 'one' ELSE 'first' END AS mode FROM page_hits h JOIN b_ USING (item_id)),

@@ -177,3 +177,47 @@ def contact_details(t: Tables) -> DataFrame:
     phones = F.slice(F.array_distinct(F.filter(found, lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15))), 1, 2)
     rows = t("documents").select("doc_id", F.array_join(emails, " ").alias("emails"), F.array_join(phones, " ").alias("phones"))
     return rows.where("emails <> '' OR phones <> ''")
+
+
+@R.add(f"""
+WITH m AS (SELECT conv_id, max(CASE WHEN role = 'user' AND {_any(_NORMAL, x.HUMAN_SUPPORT)} THEN turn END) AS asked, max(CASE WHEN role <> 'user' AND {_rlike('text', x.HANDOFF_REPLY)} THEN turn END) AS sent FROM conversations GROUP BY conv_id)
+SELECT CAST(count(*) AS BIGINT) AS conversations, CAST(count(*) FILTER (asked IS NOT NULL) AS BIGINT) AS handoffs, CAST(count(*) FILTER (asked IS NOT NULL AND (sent IS NULL OR sent < asked)) AS BIGINT) AS pending FROM m
+""")
+def pending_handoffs(t: Tables) -> DataFrame:
+    """Conversations that ask for a person, and those whose request nobody has taken up."""
+    asked = F.max(F.when((F.col("role") == "user") & x.human_support(F.col("text")), F.col("turn")))
+    sent = F.max(F.when((F.col("role") != "user") & x.matches(F.col("text"), x.HANDOFF_REPLY), F.col("turn")))
+    rows = t("conversations").groupBy("conv_id").agg(asked.alias("asked"), sent.alias("sent"))
+    waiting = F.col("asked").isNotNull() & (F.col("sent").isNull() | (F.col("sent") < F.col("asked")))
+    return rows.agg(F.count("*").alias("conversations"), F.count_if(F.col("asked").isNotNull()).alias("handoffs"), F.count_if(waiting).alias("pending"))
+
+
+#: Turns of one page of a thread.
+THREAD_PAGE = 4
+
+
+def thread_pages(messages: DataFrame, attachments: DataFrame, size: int) -> DataFrame:
+    """conv_id, page and messages (turn, role, text, attachments of id and kind, each list in order): threads nested two levels deep.
+
+    A page holds the messages of ``size`` turns, so no row grows with its conversation and none is gathered whole; attachments
+    (conv_id, turn, id, kind) are nested in their message before messages are nested in their page. Attachments without a message are left out.
+    """
+    keys = ["conv_id", "turn"]
+    held = attachments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "kind"))).alias("attachments"))
+    none = F.array().cast(held.schema["attachments"].dataType)
+    rows = messages.select(*keys, "role", "text").join(held, keys, "left").withColumn("attachments", F.coalesce("attachments", none))
+    page = F.floor(F.col("turn") / size).alias("page")
+    return rows.groupBy("conv_id", page).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "attachments"))).alias("messages"))
+
+
+@R.add(f"""
+WITH a AS (SELECT user_id AS conv_id, event_id % 8 AS turn, string_agg(event_id || '=' || event_type, ';' ORDER BY event_id) AS files FROM events GROUP BY ALL)
+SELECT conv_id, turn // {THREAD_PAGE} AS page, string_agg(role || ':' || length(text) || '[' || coalesce(files, '') || ']', ',' ORDER BY turn) AS thread FROM conversations LEFT JOIN a USING (conv_id, turn) GROUP BY ALL
+""")
+def thread_with_attachments(t: Tables) -> DataFrame:
+    """Pages of each thread, its messages' attachments within; a user's events are the attachments of one of the eight turns."""
+    files = t("events").select(F.col("user_id").alias("conv_id"), (F.col("event_id") % 8).alias("turn"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    pages = thread_pages(t("conversations"), files, THREAD_PAGE)
+    named = lambda m: F.array_join(F.transform(m["attachments"], lambda a: F.concat(a["id"].cast("string"), F.lit("="), a["kind"])), ";")
+    line = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["text"]).cast("string"), F.lit("["), named(m), F.lit("]")))
+    return pages.select("conv_id", "page", F.array_join(line, ",").alias("thread"))

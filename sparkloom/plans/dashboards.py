@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import web
 from .registry import Registry, Tables
 from .relational import half_up, percent
 
@@ -125,3 +126,51 @@ SELECT c_nationkey AS workspace, CAST(count(*) FILTER (WHERE idle) AS BIGINT) AS
 def workspace_retention(t: Tables) -> DataFrame:
     idle = F.count_if(F.col("c_acctbal") < 0)
     return t("customer").groupBy(F.col("c_nationkey").alias("workspace")).agg(idle.alias("idle"), F.count("*").alias("members"), (idle == F.count("*")).alias("deleted"))
+
+
+@R.add("""
+SELECT o_orderkey AS ticket, o_orderpriority AS priority, o_orderstatus AS status, c_name AS requester, n_name AS workspace, o_orderdate AS updated, o_orderstatus <> 'F' AS open, o_orderstatus <> 'F' AND o_orderpriority LIKE '1%' AS urgent
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 200
+""")
+def ticket_list(t: Tables) -> DataFrame:
+    """The newest tickets with who asked and where; the newest are chosen before anything is joined."""
+    newest = t("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200)
+    rows = newest.join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("c_nationkey"))  # nations are a fixed few
+    open_ = F.col("o_orderstatus") != "F"
+    return rows.select(
+        F.col("o_orderkey").alias("ticket"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.col("c_name").alias("requester"), F.col("n_name").alias("workspace"),
+        F.col("o_orderdate").alias("updated"), open_.alias("open"), (open_ & F.col("o_orderpriority").like("1%")).alias("urgent"),
+    )
+
+
+@R.add("""
+WITH l AS (SELECT user_id, count(*) AS visits, max(ts) AS last_seen, count(*) FILTER (event_type = 'purchase') AS actions FROM events GROUP BY user_id)
+SELECT c_custkey AS lead, c_name AS name, CAST(visits AS BIGINT) AS visits, last_seen, CAST(actions AS BIGINT) AS actions FROM l JOIN customer ON c_custkey = user_id ORDER BY last_seen DESC, c_custkey LIMIT 200
+""")
+def lead_list(t: Tables) -> DataFrame:
+    """The leads seen last, with their visits and actions."""
+    seen = t("events").groupBy("user_id").agg(F.count("*").alias("visits"), F.max("ts").alias("last_seen"), F.count_if(F.col("event_type") == "purchase").alias("actions"))
+    rows = seen.join(t("customer"), F.col("c_custkey") == F.col("user_id")).orderBy(F.desc("last_seen"), "c_custkey").limit(200)
+    return rows.select(F.col("c_custkey").alias("lead"), F.col("c_name").alias("name"), "visits", "last_seen", "actions")
+
+
+@R.add("SELECT event_id, user_id, event_type AS action, value, ts FROM events WHERE event_type IN ('purchase', 'error') ORDER BY ts DESC, event_id LIMIT 200")
+def action_list(t: Tables) -> DataFrame:
+    rows = t("events").where(F.col("event_type").isin("purchase", "error")).orderBy(F.desc("ts"), "event_id").limit(200)
+    return rows.select("event_id", "user_id", F.col("event_type").alias("action"), "value", "ts")
+
+
+TIMES_NOW = "2024-01-30 12:00:00"
+
+
+@R.add(f"""
+WITH e AS (SELECT event_id, ts, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{TIMES_NOW}')) / 1e6 + 0.5) AS BIGINT) AS s FROM events),
+u AS (SELECT *, CASE {' '.join(f"WHEN abs(s) >= {size} THEN '{unit}'" for unit, size, _, _ in web.UNITS)} END AS unit, CASE {' '.join(f"WHEN abs(s) >= {size} THEN CAST(floor(s / {size} + 0.5) AS BIGINT)" for _, size, _, _ in web.UNITS)} END AS n FROM e)
+SELECT event_id, CASE WHEN unit IS NULL THEN 'just now' {' '.join(f"WHEN unit = '{unit}' AND n = -1 THEN '{gone}' WHEN unit = '{unit}' AND n = 1 THEN '{coming}'" for unit, _, gone, coming in web.UNITS)} WHEN n < 0 THEN -n || ' ' || unit || 's ago' ELSE 'in ' || n || ' ' || unit || 's' END AS ago,
+  CASE WHEN CAST(ts AS DATE) = DATE '{TIMES_NOW[:10]}' THEN strftime(ts, '%H:%M') WHEN CAST(ts AS DATE) = DATE '{TIMES_NOW[:10]}' - 1 THEN 'Yesterday ' || strftime(ts, '%H:%M')
+    ELSE day(ts) || ' ' || strftime(ts, '%b') || CASE WHEN year(ts) = {TIMES_NOW[:4]} THEN '' ELSE ' ' || year(ts) END || ' ' || strftime(ts, '%H:%M') END AS label FROM u
+""")
+def message_labels(t: Tables) -> DataFrame:
+    """How long ago each event was, and the time that a message of it shows."""
+    now = F.lit(TIMES_NOW).cast("timestamp")
+    return t("events").select("event_id", web.relative_time(F.col("ts"), now).alias("ago"), web.message_time(F.col("ts").cast("timestamp"), now).alias("label"))

@@ -66,10 +66,7 @@ u AS (SELECT page_id, site || array_to_string(seg, '/') || CASE WHEN len(seg) =
 SELECT DISTINCT page_id, replace(address || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, ' ', '%20') AS link FROM u
 """)
 def page_links(t: Tables) -> DataFrame:
-    # one reference a row: as columns of a row, parts that are used twice are made once
-    rows = t("pages").select("page_id", "url", F.explode(w.hrefs(F.col("html"))).alias("reference"))
-    rows = rows.withColumn("link", w.resolved(F.col("reference"), F.col("url"))).where("link IS NOT NULL")
-    return rows.select("page_id", w.untracked(F.col("link")).alias("link")).distinct()
+    return w.links(t("pages")).select("page_id", "link")
 
 
 def clean_url(url: Column) -> Column:

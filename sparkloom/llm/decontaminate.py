@@ -18,6 +18,8 @@ GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: The hash set is broadcast up to this many bytes of windows; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Keys of contaminated texts (32 characters each) that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -39,21 +41,51 @@ def _hash(words_: Column, length: int | Column) -> Column:
     return F.xxhash64(F.lit(length) if isinstance(length, int) else length, words_)
 
 
-def _at(hashes: Column, length: int) -> Column:
-    """The hash of the window of that length at every position, from the words' hashes."""
-    last = F.size(hashes) - F.lit(length - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: _hash(F.slice(hashes, i, F.lit(length)), length))).otherwise(F.array().cast("array<long>"))
+def _opening(hashes: Column, length: Column) -> Column:
+    """The key of a window's first words, two or, of a window of one word, that: what a position must show before its whole window is hashed."""
+    return F.xxhash64(F.get(hashes, F.lit(0)), F.when(length > 1, F.get(hashes, F.lit(1))))
 
 
 def windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of each item: item, len, window and hash.
+    """Distinct windows of each item: item, len, window, hash, and opening (the key of its first words).
 
     An item of fewer than n words, but not none, is one window. Items without an id or words have none.
     """
     rows = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.col("item").isNotNull() & (F.size("w") > 0))
     cut = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.slice(w, i, k))
     rows = rows.select("item", F.explode(_let(F.col("w"), lambda w: cut(w, F.least(F.size(w), F.lit(n))))).alias("window")).distinct()
-    return rows.select("item", F.size("window").alias("len"), "window", _hash(F.transform("window", lambda x: F.xxhash64(x)), F.size("window")).alias("hash"))
+    rows = rows.select("item", F.size("window").alias("len"), "window", F.transform("window", lambda x: F.xxhash64(x)).alias("h"))
+    return rows.select("item", "len", "window", _hash(F.col("h"), F.col("len")).alias("hash"), _opening(F.col("h"), F.col("len")).alias("opening"))
+
+
+def hits_of(rows: DataFrame, held: DataFrame) -> DataFrame | None:
+    """doc_id, text_key, span, hash and window of every place of rows (doc_id, text) where a window of held stands; None without windows."""
+    grams = held.select("len", "hash", "opening", "window").distinct()
+    size = grams.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("window", " "))).alias("bytes"), F.collect_set("len").alias("lens")).first()
+    # what is broadcast are distinct windows alone: the items of a window, however many, join the hits later
+    fits = (size["bytes"] or 0) + 64 * size["rows"] <= BROADCAST_BYTES
+    if not size["rows"]:
+        return None
+    key = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
+    # a position's first two words pass by the openings of all windows; only where some window opens so is the whole of it hashed.
+    # Windows beyond a broadcast are joined by shuffle, and then nothing but a window itself may move
+    pairs = F.zip_with("h", F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    at = rows.select(*key, words(F.col("text")).alias("w")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    if fits:
+        single = [F.transform("h", lambda h: F.xxhash64(h, F.lit(None).cast("long")))] if 1 in size["lens"] else []
+        at = at.select("doc_id", "text_key", "w", "h", F.explode(F.array(pairs, *single)).alias("keys")).select("doc_id", "text_key", "w", "h", F.posexplode("keys").alias("pos", "opening"))
+        at = at.join(F.broadcast(grams.select("opening", "len").distinct()), "opening")
+    else:
+        at = at.select("doc_id", "text_key", "w", "h", F.posexplode("h").alias("pos", "one")).withColumn("len", F.explode(F.array(*map(F.lit, size["lens"]))))
+    at = at.where(F.col("pos") + F.col("len") <= F.size("w"))
+    at = at.withColumn("hash", _hash(F.slice("h", F.col("pos") + 1, F.col("len")), F.col("len")))
+    window = F.slice("w", F.col("pos") + 1, F.col("len"))
+    if fits:
+        found = at.join(F.broadcast(grams.drop("len", "opening")), "hash").where(window == F.col("window"))
+    else:  # what shuffles is each window's own words, not its text's
+        found = at.select("doc_id", "text_key", "pos", "len", "hash", window.alias("window")).join(grams.drop("len", "opening"), ["hash", "window"])
+    span = F.struct((F.col("pos") + 1).alias("first"), (F.col("pos") + 1 + F.col("len")).alias("until"))
+    return materialize(found.select("doc_id", "text_key", span.alias("span"), "hash", "window"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,33 +96,18 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     nothing is contaminated; without documents the result is empty. Further columns of docs are ignored.
     """
     held = materialize(windows(items, n))
-    grams = held.select("len", "hash", "window").distinct()
-    size = grams.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("window", " "))).alias("bytes"), F.collect_set("len").alias("lens")).first()
-    # what is broadcast are distinct windows alone: the items of a window, however many, join the hits later
-    fits = (size["bytes"] or 0) + 64 * size["rows"] <= BROADCAST_BYTES
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    key = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
-    total = rows.select(*key, n_words(F.col("text")).alias("n_words"))
+    total = rows.select("doc_id", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("n_words"))
     no_spans, no_ids = F.array().cast("array<struct<first:int,until:int>>"), F.array().cast("array<string>")
-    if not size["rows"]:
+    hits = hits_of(rows, held)
+    if hits is None:
         out = total.select("doc_id", "n_words", no_spans.alias("spans"), no_ids.alias("ids"))
     else:
-        # one pass for windows of all lengths; their hashes are made in one projection, and the exploded rows only pass by the hash set
-        of = lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.array(*(F.struct(F.lit(k).alias("len"), _at(h, k).alias("hashes")) for k in sorted(size["lens"]))))
-        at = rows.select(*key, _let(words(F.col("text")), lambda w: F.struct(w.alias("w"), of(w).alias("of"))).alias("x"))
-        at = at.select("doc_id", "text_key", F.col("x.w").alias("w"), F.explode("x.of").alias("of"))
-        at = at.select("doc_id", "text_key", "w", F.col("of.len").alias("len"), F.posexplode("of.hashes").alias("pos", "hash"))
-        window = F.slice("w", F.col("pos") + 1, F.col("len"))
-        if fits:
-            found = at.join(F.broadcast(grams.drop("len")), "hash").where(window == F.col("window"))
-        else:  # what shuffles is each window's own words, not its text's
-            found = at.select("doc_id", "text_key", "pos", "len", "hash", window.alias("window")).join(grams.drop("len"), ["hash", "window"])
-        span = F.struct((F.col("pos") + 1).alias("first"), (F.col("pos") + 1 + F.col("len")).alias("until"))
-        hits = materialize(found.select("doc_id", "text_key", span.alias("span"), "hash", "window"))
         where = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("found"))
         # a passage that a third of all documents hold is one key: where the items' windows fit, no hit moves for them
         all_ = held.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("window", " "))).alias("bytes")).first()
-        of_items = held.drop("len") if all_["bytes"] + 64 * all_["rows"] > BROADCAST_BYTES else F.broadcast(held.drop("len"))
+        of_items = held.select("item", "hash", "window")
+        of_items = of_items if all_["bytes"] + 64 * all_["rows"] > BROADCAST_BYTES else F.broadcast(of_items)
         what = hits.select("doc_id", "text_key", "hash", "window").distinct().join(of_items, ["hash", "window"]).select("doc_id", "text_key", "item").distinct()
         what = what.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item")).alias("ids"))
         what = what.select(F.col("doc_id").alias("what_id"), F.col("text_key").alias("what_key"), "ids")
@@ -120,7 +137,12 @@ def remove_rows(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "d
     # a row without a text is never contaminated; its id keeps such rows apart
     key = F.coalesce(F.md5(F.when(F.col(text_col) != "", F.col(text_col))), F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none"))
     named = items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
-    bad = contamination(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), named, n).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    hits = hits_of(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")), materialize(windows(named, n)))
+    if hits is None:
+        return docs
+    bad = materialize(hits.select(F.col("doc_id").alias("__bad")).distinct())
+    # keys of contaminated texts: a bounded number is broadcast, so that texts stay where they are; more are joined by shuffle
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
     return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").select(*docs.columns)
 
 

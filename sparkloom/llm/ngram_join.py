@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -38,6 +39,7 @@ BROADCAST_IDS = 4_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
+_VALUE = _LOWER + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[str, np.ndarray] = {}
@@ -68,8 +70,13 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     step = np.diff(inside.astype(np.int8), prepend=0)
     first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     up, down = _power(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[data] + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    word = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    # one array of 8 bytes a byte of text, reused in place
+    sums = _VALUE[data]
+    sums *= up[: len(data)]
+    np.cumsum(sums, out=sums)
+    before = np.where(first > 0, sums[first - 1], np.uint64(0)) if len(first) else sums[:0]
+    word = mix((sums[last - 1] - before) * down[first] + (last - first).astype(np.uint64))
+    del sums
     begin = np.searchsorted(first, np.cumsum(size) - size)
     n_words = np.diff(np.append(begin, len(first)))
     gram = np.zeros(max(0, len(word) - N + 1), np.uint64)
@@ -103,6 +110,8 @@ def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[bytes]]]
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    del texts
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task gives back what batches took
 
 
 def allowed(n: np.ndarray) -> np.ndarray:
@@ -153,6 +162,7 @@ def sizes(rows: DataFrame) -> DataFrame:
             ends = np.cumsum([len(g) for g in grams])
             for lot, a, b in zip(asked.lot, np.append(0, ends[:-1]), ends):
                 out.append((lot, np.bincount(own[a:b][single[a:b]]).astype("<i4").tobytes(), None, None))
+            pa.default_memory_pool().release_unused()
         return pd.DataFrame(out, columns=["lot", "single", "ids", "n"])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
@@ -302,6 +312,7 @@ def verified(blocks: DataFrame) -> DataFrame:
                 sets.append(np.asarray(grams, np.int64))
         if reps:
             yield done(reps, sets)
+        pa.default_memory_pool().release_unused()
 
     dealt = blocks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "rep")
     return dealt.mapInPandas(run, "a long, b long")

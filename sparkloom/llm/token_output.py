@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -33,7 +34,7 @@ from .common import shared_dir
 SAMPLE = 64
 BLOCK_IDS = 1 << 20
 #: Entries of each of the two generations of a worker's word memo.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 SCHEMA = "part int, block int, part_start long, n_docs long, n_ids long, low_bits int, low binary, high binary, samples binary, doc_ids binary, ids binary, wide boolean"
 
@@ -300,6 +301,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                     number, before, ids, coded, held = number + 1, before + held, [], [], 0
         if ids:
             yield block()
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task gives back what batches took
 
     rows.mapInPandas(blocks, SCHEMA).write.parquet(path)
 

@@ -26,7 +26,7 @@ GRAMS = (3, 4, 5)
 PER_CLASS = 1500
 EPOCHS = 10
 #: Words that a worker remembers at most.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 WORD = re.compile(r"\w+")
 

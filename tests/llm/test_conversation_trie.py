@@ -49,8 +49,7 @@ def family(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("local_rows", [1, 40, t.LOCAL_ROWS])
-@pytest.mark.parametrize("spliced", [True, False])
+@pytest.mark.parametrize("local_rows, spliced", [(1, True), (40, True), (40, False), (t.LOCAL_ROWS, True)])
 def test_nodes(spark, local_rows, spliced):
     """Distributed rounds and local quicksort give the same nodes, whatever their share."""
     rows = [r for r in family(local_rows) if local_rows > 1 or r[0] is None or r[0] < 40]

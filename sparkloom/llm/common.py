@@ -57,6 +57,11 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return back.join(F.broadcast(files), ["__part", "__file"]).select(*df.columns, (F.col("__start") + F.col("__row")).alias(name))
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with every column c named __doc_c: whatever they are called, none meets a column of an operator's own. toDF(*docs.columns) names them back."""
+    return docs.toDF(*(f"__doc_{c}" for c in docs.columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ASCII-only texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, materialize
+from .common import aside, ascii_lower, materialize
 
 #: What lies between words, before and after A-Z became a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,16 +134,17 @@ def remove_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str
 
 def remove_rows(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose own text is not contaminated, whatever their ids; items without an id count too."""
+    own, text, id_ = aside(docs), F.col(f"__doc_{text_col}").cast("string"), F.col(f"__doc_{id_col}")
     # a row without a text is never contaminated; its id keeps such rows apart
-    key = F.coalesce(F.md5(F.when(F.col(text_col) != "", F.col(text_col))), F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none"))
+    key = F.coalesce(F.md5(F.when(text != "", text)), F.concat(F.lit("id "), id_.cast("string")), F.lit("none"))
     named = items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
-    hits = hits_of(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text")), materialize(windows(named, n)))
+    hits = hits_of(own.select(key.alias("doc_id"), text.alias("text")), materialize(windows(named, n)))
     if hits is None:
         return docs
     bad = materialize(hits.select(F.col("doc_id").alias("__bad")).distinct())
     # keys of contaminated texts: a bounded number is broadcast, so that texts stay where they are; more are joined by shuffle
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").select(*docs.columns)
+    return own.join(bad, key == F.col("__bad"), "left_anti").toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import aside, materialize
 from .components import components
 
 N = 5
@@ -373,6 +373,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each row is judged by its own text, whatever its id: texts are joined under their hashes. Rows without n-grams all stay.
     """
+    return _representatives(aside(docs), f"__doc_{id_col}", f"__doc_{text_col}").toDF(*docs.columns)
+
+
+def _representatives(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hash_ = F.xxhash64(F.col(text_col).cast("string"))
     found = ngram_join(docs.select(hash_.alias("doc_id"), F.col(text_col).alias("text"))).where("n_shingles > 0")
     found = found.select(F.col("doc_id").alias("__h"), F.col("component_id").alias("__c")).distinct()

@@ -69,3 +69,18 @@ def test_rows_are_judged_by_their_own_texts(spark, monkeypatch):
     got = sorted((r.k for r in kept.collect()))
     assert kept.columns == docs.columns
     assert len(got) == 8 and len({0, 1} & set(got)) == 1 and len({2, 3} & set(got)) == 1 and set(got) - {0, 1, 2, 3} == {4, 6, 8, 9, 10, 12}
+
+
+def test_clashing_columns(spark):
+    """Columns with the stages' own names pass through all of them with their values."""
+    clash = "__h __c __hash __key __bad __doc_text toxicity __toxicity mix_slot mix_block part file row n_shingles component_id __first".split()
+    docs = table(spark, SF, "documents").limit(60)
+    for k, name in enumerate(clash):
+        docs = docs.withColumn(name, p.F.col("doc_id") * 100 + k)
+    docs = given = materialize(docs)
+    for _, stage in p.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF))
+        assert docs.columns == given.columns
+    rows = docs.collect()
+    assert rows and all(r[name] == r.doc_id * 100 + k for r in rows for k, name in enumerate(clash))
+    assert p.write_tokens(spark, docs, SF).count() == len(rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.page import page_reading
+from ..sources.crawl import THIN
+from .answering import TABLES
 from .registry import Registry, Tables
 
 R = Registry()
@@ -68,3 +70,34 @@ def crawl_diagnosis(t: Tables) -> DataFrame:
 def page_readings(t: Tables) -> DataFrame:
     """What is indexed of each page; no SQL, for it walks a tree (tests/test_page.py)."""
     return t("pages").select("page_id", page_reading(F.col("html")).alias("text"))
+
+
+@R.add()
+def reading_outcomes(t: Tables) -> DataFrame:
+    """n, hash and outcome (thin, duplicate or indexed) of each page by what is read of it; no SQL, for it walks a tree (tests/test_page.py)."""
+    rows = t("pages").select("page_id", page_reading(F.col("html")).alias("text")).select("page_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("hash"))
+    # the text is read once more for the first page of each hash; what shuffles are hashes
+    first = rows.groupBy("hash").agg(F.min("page_id").alias("first"))
+    outcome = F.when(F.col("n") < THIN, "thin").when(F.col("page_id") != F.col("first"), "duplicate").otherwise("indexed")
+    return rows.join(first, "hash").select("page_id", "n", "hash", outcome.alias("outcome"))
+
+
+@R.add()
+def table_bytes(t: Tables) -> DataFrame:
+    """Files and bytes of each table of the catalog; no SQL, for a table does not show its files there (tests/test_page.py)."""
+    out = None
+    for name in TABLES:
+        files = t(name).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+        rows = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).select(F.lit(name).alias("name"), "files", "bytes")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def tables_there(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """name and there: whether each table has files in a folder of any store that Spark reads; a listing, without data."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for name in names:
+        path = hadoop.Path(f"{folder}/{name}.parquet")
+        found.append((name, bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))))
+    return spark.createDataFrame(found, "name string, there boolean")

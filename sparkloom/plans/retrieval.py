@@ -418,3 +418,25 @@ def report(cases: DataFrame, gate: int) -> DataFrame:
         F.count("*").alias("cases"), share(hit(1)).alias("recall_1"), share(hit(8)).alias("recall_8"), share(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"),
         F.count_if(F.col("answerable") & (F.col("confidence") < gate)).alias("false_refusals"),
     )
+
+
+@R.add(rf"""
+WITH h AS (SELECT page_id, string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', ''), '.') AS labels FROM pages),
+w AS (SELECT page_id, list_filter(flatten(list_transform(labels[1:len(labels) - 1], lambda z: regexp_split_to_array(z, '[-_]+'))), lambda z: length(z) >= 3) AS words FROM h),
+f AS (SELECT page_id, flatten(list_transform(words, lambda z: CASE WHEN ends_with(z, 's') THEN [z] ELSE [z, z || 's'] END)) AS words FROM w)
+SELECT page_id, array_to_string({DISTINCT.format('words')}, ' ') AS words FROM f
+""")
+def site_vocabulary(t: Tables) -> DataFrame:
+    """The words of each site's own name, which say nothing about a question's topic."""
+    return t("pages").select("page_id", F.array_join(x.site_words(F.col("url")), " ").alias("words"))
+
+
+@R.add(r"""
+WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN ' ' || url WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') || ' ' ELSE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS typed FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(trim(typed), '^[A-Za-z][A-Za-z0-9+.-]*://') THEN trim(typed) WHEN trim(typed) <> '' THEN 'https://' || trim(typed) END AS url FROM p
+""")
+def typed_addresses(t: Tables) -> DataFrame:
+    """Addresses of the pages as people type them: whole, without a scheme, or the host alone."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    typed = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), "url")).when(F.col("page_id") % 3 == 1, F.concat(bare, F.lit(" "))).otherwise(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
+    return t("pages").select("page_id", w.with_scheme(typed).alias("url"))

@@ -115,3 +115,29 @@ def test_verdicts(spark):
     assert got == ["never started", "alive", "alive", "late", "late", "not running"]
     of = lambda *jobs: diagnosis.crawl_verdict(spark.createDataFrame(jobs, "pages long, events long")).first().diagnosis
     assert (of((3, 0), (2, 2)), of((3, 1), (2, 2)), of((0, 0), (2, 2))) == ("events missing", "recording", "nothing yet")
+
+
+def test_reading_outcomes(spark):
+    long = "<article><p>" + "A long sentence of the page, read as it is. " * 9 + "</p></article>"
+    pages = [(1, long), (2, "<nav>x</nav>" + long), (3, "<p>short</p>"), (4, None), (5, long.replace("page", "story"))]
+    frame = spark.createDataFrame(pages, "page_id long, html string")
+    got = {r.page_id: r for r in diagnosis.reading_outcomes(lambda _: frame).collect()}
+    assert {k: r.outcome for k, r in got.items()} == {1: "indexed", 2: "duplicate", 3: "thin", 4: "thin", 5: "indexed"}
+    assert got[1].n == len(read_page(long)) and got[4].n == 0
+
+
+def test_catalog(spark):
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.name: (r.files, r.bytes) for r in diagnosis.table_bytes(lambda name: spark.read.parquet(f"{folder}/{name}.parquet")).collect()}
+    assert got == {name: (1, Path(f"{folder}/{name}.parquet").stat().st_size) for name in got} and len(got) == 14
+    assert [tuple(r) for r in diagnosis.tables_there(spark, folder, ["orders", "nothing"]).collect()] == [("orders", True), ("nothing", False)]
+
+
+def test_text_records(spark, tmp_path):
+    from sparkloom.sources import uploads
+
+    (tmp_path / "a.md").write_text("# Title\n\nText of it.")
+    rows = uploads.text_records(spark, str(tmp_path / "a.md")).collect()
+    assert len(rows) == 1 and "Text of it." in str(rows[0])

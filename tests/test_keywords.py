@@ -150,6 +150,7 @@ def test_question_blocks(spark):
     assert one == best(7) == best(1) and set(one) == set(range(50)) and all(len(v) == r.LEGS[0] for v in one.values())
 
 
+#: Titles and texts of pages whose order for a question is to hold.
 PAGES = [
     ("Time Calculator", "Add or subtract hours, minutes and seconds. Total seconds equals days times 86400 plus hours times 3600."),
     ("Time Duration Calculator", "Calculate the duration between two times in hours minutes and seconds. Useful for tracking project work, shift logs and flight times. Duration equals end time minus start time."),

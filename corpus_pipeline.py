@@ -18,6 +18,8 @@ TOXIC = 0.7
 NGRAM = 10
 BLOCK_CHARS = 100_000
 END_ID = 2
+#: Words that a worker remembers of the tokenizer: it keeps them while it serves other stages, whose memory they take.
+MEMO_WORDS = 250_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # a part's number may outgrow its five digits, so names do not order files
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
     placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return token_output.token_output(placed, TOKENIZER, END_ID, place=["part", "file", "row"])
+    return token_output.token_output(placed, TOKENIZER, END_ID, place=["part", "file", "row"], memo_words=MEMO_WORDS)
 
 
 STAGES = [

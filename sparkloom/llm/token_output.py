@@ -170,9 +170,11 @@ class WordEncoder:
     other vocabulary encodes whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
+        self.most = memo_words
+
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         vocab = self.tokenizer.get_vocab()
@@ -190,7 +192,7 @@ class WordEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.memo) + len(pieces) > MEMO_WORDS:
+        if len(self.memo) + len(pieces) > self.most:
             self.memo, self.old = {}, self.memo
         if again := pieces & self.old.keys():
             self.memo.update((p, self.old[p]) for p in again)
@@ -257,19 +259,19 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, memo_words: int) -> WordEncoder:
     """The worker's own encoder, kept from task to task; a name without a folder is one of the public_tokenizers package."""
-    if path not in _encoders:
+    if (path, memo_words) not in _encoders:
         import public_tokenizers
 
-        _encoders[path] = WordEncoder(path if "/" in path else str(public_tokenizers.path(path)))
-    return _encoders[path]
+        _encoders[path, memo_words] = WordEncoder(path if "/" in path else str(public_tokenizers.path(path)), memo_words)
+    return _encoders[path, memo_words]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None, memo_words: int = MEMO_WORDS) -> None:
     """Encode every whole text and write the id array to path, documents in ascending order of ``place`` (default: the id).
 
     Null texts count as empty and keep their end id. Rows that tie (repeated ids) stand in order of their text.
@@ -281,7 +283,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "text").select("doc_id", "text")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, number, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, number, before = _encoder(tokenizer, memo_words), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         ids, coded, held = [], [], 0
 
@@ -352,8 +354,8 @@ def tokens_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return blocks.join(F.broadcast(bases), "part").mapInPandas(find, "doc_id long, start long, ids array<long>")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None) -> DataFrame:
-    """Write the token file into the shared folder and return what reading it back says of each document."""
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Write the token file into the shared folder and return what reading it back says of each document. A worker remembers twice memo_words words at most."""
     path = shared_dir(docs.sparkSession)
-    write(docs, path, tokenizer, end_id, id_col, text_col, place)
+    write(docs, path, tokenizer, end_id, id_col, text_col, place, memo_words)
     return read(docs.sparkSession, path)

@@ -26,7 +26,8 @@ def circuit_breaker(t: Tables) -> DataFrame:
 def presence_alive(t: Tables) -> DataFrame:
     now = F.lit(NOW).cast("timestamp_ntz")
     rows = t("events").where(F.col("ts") <= now).groupBy("user_id").agg(F.max("ts").alias("seen"))
-    return rows.select("user_id", "seen", (F.timestamp_diff("SECOND", F.col("seen"), now) <= 21600).alias("alive"))
+    age = F.timestamp_diff("MICROSECOND", F.col("seen").cast("timestamp_ntz"), now) / 1e6
+    return rows.select("user_id", "seen", (age <= 21600).alias("alive"))
 
 
 @R.add("""

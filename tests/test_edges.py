@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 import pandas as pd
 
-from sparkloom.plans import relational
+from sparkloom.plans import activity, relational
 
 
 def both(spark, registry, name, folder, **tables):
@@ -28,3 +28,11 @@ def test_latest_link_near_keys(spark, tmp_path):
     orders = pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
     got, want = both(spark, relational.R, "latest_link", tmp_path, orders=orders)
     assert got == want == [(1, 100, 3), (2, 90000, 3), (3, 4, 2)]
+
+
+def test_presence_within_a_second(spark, tmp_path):
+    now = dt.datetime(2024, 1, 30)
+    seen = [dt.timedelta(seconds=21600), dt.timedelta(seconds=21600, microseconds=400_000), dt.timedelta(seconds=21599, microseconds=999_999)]
+    events = pd.DataFrame({"user_id": [1, 2, 3], "ts": [now - s for s in seen]})
+    got, want = both(spark, activity.R, "presence_alive", tmp_path, events=events)
+    assert got == want and [r[2] for r in got] == [True, False, True]

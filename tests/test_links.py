@@ -6,7 +6,7 @@ from urllib.parse import urljoin, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import web as w
+from sparkloom.functions import answer, web as w
 
 
 def test_resolved(spark):
@@ -78,3 +78,12 @@ def test_queries(spark):
             want = con.execute(retrieval.R.sql[name])
             columns = [d[0] for d in want.description]
             assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_title_is_computed_once(spark):
+    """A page's title goes through its elements once, however often what is made of it is used."""
+    rows = spark.createDataFrame([("<title>Customer support - the site</title>", "https://s.example/p")], "html string, url string")
+    scored = rows.select(answer.contact_score(w.title(F.col("html"), F.col("url")), F.lit("/")).alias("x"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<title[^>]*>") == 1 and plan.count(r"<meta\s") == 1
+    assert scored.first().x == 3
